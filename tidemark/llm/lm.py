@@ -47,7 +47,7 @@ START = WORDS + len(BANDS)
 HIDDEN = 32
 MIX = 0.95
 SEGMENT, WINDOW = 64, 16
-SHARE, ROUNDS = 8, 2
+SHARE, ROUNDS = 12, 2
 TRAIN_LANES, SCORE_LANES = 64, 256
 FLUSH_TOKENS = 1_000_000
 BLOCKS = 256
