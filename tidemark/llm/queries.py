@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, html, lm, minhash, packing, quality, substring, toxicity
+from tidemark.llm import ann, bpe, graphdedup, html, lm, minhash, packing, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_site_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op5_flat_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graphdedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"))
 
