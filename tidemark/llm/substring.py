@@ -276,7 +276,8 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
         return x.groupBy("row_key").agg(F.collect_list("data").alias("data"))
 
     found = gathered(hits(probes(rows, size, parts), parts))
-    near = rows.join(found, "row_key").select("row_key", "text", "data")
+    # the id comes along so that both joins have the same columns and share one exchange
+    near = rows.join(found, "row_key").select("row_key", "text", "data", "doc_id")
     covers = gathered(repeats(candidates(near, size, parts), parts))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
 
