@@ -56,7 +56,7 @@ class GatedJoin(StatefulProcessor):
                 (self.waiting if side else self.versions).appendValue((ms, int(o), v))
                 if side:
                     self.handle.registerTimer(ms + 1)
-        yield pd.DataFrame({"key": [], "offset": [], "left": [], "right": []}).astype({"offset": "int64"})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = expiredTimerInfo.getExpiryTimeInMs()
@@ -72,7 +72,7 @@ class GatedJoin(StatefulProcessor):
         keep = old[-1:] + [x for x in versions if x[0] >= now]
         self.versions.put(keep) if keep else self.versions.clear()
         self.waiting.put(later) if later else self.waiting.clear()
-        yield pd.DataFrame(out, columns=["key", "offset", "left", "right"]).astype({"offset": "int64"})
+        return iter([pd.DataFrame(out, columns=["key", "offset", "left", "right"])] if out else [])
 
     def close(self) -> None:
         pass
