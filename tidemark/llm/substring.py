@@ -37,10 +37,11 @@ WINDOW = 35
 FLUSH_WORDS = 1_500_000
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Rows as (row_key, doc_id, text); row_key names a row by id and text."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows as (row_key, doc_id, text, also_0 ..); row_key names a row by id and text."""
     text = F.col(text_col).cast("string")
-    return docs.select(F.xxhash64(F.col(id_col), text).alias("row_key"), F.col(id_col).alias("doc_id"), text.alias("text"))
+    more = [F.col(c).alias(f"also_{k}") for k, c in enumerate(also)]
+    return docs.select(F.xxhash64(F.col(id_col), text).alias("row_key"), F.col(id_col).alias("doc_id"), text.alias("text"), *more)
 
 
 def _words(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +92,7 @@ def probes(docs: DataFrame, size: int, parts: int) -> DataFrame:
 
         for kind, pick in ((0, on & anchor), (1, on & ~anchor)):
             yield routing.routed(part[pick], kind, [low[pick], key[pick], pos[pick]], pack)
-        own = np.full(int(again.sum()), int(part[0]))
+        own = np.full(int(again.sum()), int(part[0]) if len(part) else 0)
         yield routing.routed(own, 2, [key[again], pos[again]], lambda c: routing.dump_places(c[0], c[1], False))
 
     def run(batches):
@@ -120,17 +121,30 @@ def _index(low: np.ndarray) -> tx.HashTable:
     return table
 
 
-def hits(packed: DataFrame, parts: int) -> DataFrame:
-    """(row_key, data): packed positions whose block-long word sequence is an anchor elsewhere."""
+def _answer(key: np.ndarray, pos: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Places on their way back to the rows, packed by the rows' partitions."""
+    order = np.lexsort((pos, key))
+    key, pos = key[order], pos[order]
+    return routing.routed(routing.part_of(tx.mix(key.astype(np.uint64)), parts), 0, [key, pos], lambda c: routing.dump_places(c[0], c[1], False))
+
 
-    def out(key, pos):
-        if not len(key):
-            return
-        order = np.lexsort((pos, key))
-        key, pos = key[order], pos[order]
-        start, n = tx.runs(key)
-        raw = pos.astype("<u4").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(key[start], pa.int64()), pa.array([raw[4 * a : 4 * (a + m)] for a, m in zip(start.tolist(), n.tolist())], pa.binary())], ["row_key", "data"])
+def gathered(packed: DataFrame, parts: int) -> DataFrame:
+    """(row_key, data): all places of a row, one row each."""
+
+    def run(batches):
+        got = [routing.load_places(routing.load(x.as_buffer())) for batch in batches for x in batch.column(2)]
+        if got:
+            key, pos = map(np.concatenate, zip(*got))
+            order = np.lexsort((pos, key))
+            key, raw = key[order], pos[order].astype("<u4").tobytes()
+            start, n = tx.runs(key)
+            yield pa.RecordBatch.from_arrays([pa.array(key[start], pa.int64()), pa.array([raw[4 * a : 4 * (a + m)] for a, m in zip(start.tolist(), n.tolist())], pa.binary())], ["row_key", "data"])
+
+    return routing.exchange(packed, parts).mapInArrow(run, "row_key long, data binary")
+
+
+def hits(packed: DataFrame, parts: int) -> DataFrame:
+    """Packed places whose block-long word sequence is an anchor elsewhere."""
 
     def run(batches):
         blocks, table, seen = _Buffer(), None, None
@@ -139,8 +153,7 @@ def hits(packed: DataFrame, parts: int) -> DataFrame:
             for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
                 a = routing.load(data.as_buffer())
                 if kind == 0:
-                    key, pos = routing.load_places(a[1:])
-                    blocks.add(a[0], key, pos)
+                    blocks.add(a[0], *routing.load_places(a[1:]))
                     continue
                 if table is None:
                     low, bkey, bpos = blocks.take() or [np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)]
@@ -156,27 +169,22 @@ def hits(packed: DataFrame, parts: int) -> DataFrame:
                 else:
                     found.append(routing.load_places(a))
             if found:
-                yield from out(*map(np.concatenate, zip(*found)))
+                yield _answer(*map(np.concatenate, zip(*found)), parts)
         if table is None and blocks.n:
             low, bkey, bpos = blocks.take()
             _, slot, n = np.unique(low, return_inverse=True, return_counts=True)
             table, seen = True, n > 1
-        if table is not None:
-            pick = seen[slot] if len(slot) else np.zeros(0, bool)
-            yield from out(bkey[pick], bpos[pick])
+        if table is not None and len(slot):
+            yield _answer(bkey[seen[slot]], bpos[seen[slot]], parts)
 
-    return routing.exchange(packed, parts).mapInArrow(run, "row_key long, data binary")
+    return routing.exchange(packed, parts).mapInArrow(run, routing.SCHEMA)
 
 
 def _joined(lists, rows: int):
-    """(row of each value, values) of a column of arrays of packed positions."""
-    sizes, values = np.zeros(rows, np.int64), []
-    for i, x in enumerate(lists):
-        if x is not None:
-            got = np.frombuffer(b"".join(x), "<u4")
-            sizes[i] = len(got)
-            values.append(got)
-    return np.repeat(np.arange(rows), sizes), np.concatenate(values).astype(np.int64) if values else np.zeros(0, np.int64)
+    """(row of each value, values) of a column of packed positions."""
+    sizes = np.array([len(x) // 4 if x is not None else 0 for x in lists], np.int64)
+    values = np.frombuffer(b"".join(x for x in lists if x is not None), "<u4").astype(np.int64)
+    return np.repeat(np.arange(rows), sizes), values
 
 
 def _cover(start: np.ndarray, stop: np.ndarray, n: int) -> np.ndarray:
@@ -198,9 +206,8 @@ def candidates(found: DataFrame, size: int, parts: int) -> DataFrame:
         h, key, pos = buffer.take()
         again, on = _local_repeats(h)
         part = routing.part_of(h, parts)
-        flag = again.astype(np.uint8)
-        yield routing.routed(part[on], 0, [h[on], flag[on], key[on], pos[on]], lambda c: [c[0], c[1], *routing.dump_places(c[2], c[3], wide)])
-        own = np.full(int(again.sum()), int(part[0]))
+        yield routing.routed(part[on], 0, [h[on], key[on], pos[on]], lambda c: [c[0], *routing.dump_places(c[1], c[2], wide)])
+        own = np.full(int(again.sum()), int(part[0]) if len(part) else 0)
         yield routing.routed(own, 2, [key[again], pos[again]], lambda c: routing.dump_places(c[0], c[1], False))
 
     def run(batches):
@@ -227,59 +234,50 @@ def candidates(found: DataFrame, size: int, parts: int) -> DataFrame:
 
 
 def repeats(packed: DataFrame, parts: int) -> DataFrame:
-    """(row_key, data): runs of repeated windows, as packed pairs of first and last + 1."""
-
-    def out(key, pos):
-        order = np.lexsort((pos, key))
-        key, pos = key[order], pos[order]
-        cut = np.ones(len(key), bool)
-        cut[1:] = (key[1:] != key[:-1]) | (pos[1:] > pos[:-1] + 1)
-        a = np.flatnonzero(cut)
-        b = np.r_[a[1:], len(key)] - 1
-        start, n = tx.runs(key[a])
-        raw = np.column_stack([pos[a], pos[b] + 1]).astype("<u4").tobytes()
-        yield pa.RecordBatch.from_arrays([pa.array(key[a][start], pa.int64()), pa.array([raw[8 * x : 8 * (x + m)] for x, m in zip(start.tolist(), n.tolist())], pa.binary())], ["row_key", "data"])
+    """Packed places of the windows that are anywhere else."""
 
     def run(batches):
         buffer = _Buffer()
         for batch in batches:
+            settled = []
             for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
                 a = routing.load(data.as_buffer())
                 if kind == 0:
-                    buffer.add(a[0], a[1], *routing.load_places(a[2:]))
+                    buffer.add(a[0], *routing.load_places(a[1:]))
                 else:
-                    key, pos = routing.load_places(a)
-                    if len(key):
-                        yield from out(key, pos)
+                    settled.append(routing.load_places(a))
+            if settled:
+                yield _answer(*map(np.concatenate, zip(*settled)), parts)
         if buffer.n:
-            h, flag, key, pos = buffer.take()
+            h, key, pos = buffer.take()
             order = np.argsort(h, kind="stable")
-            start, n = tx.runs(h[order])
-            twice = (n > 1) | (np.add.reduceat(flag[order].astype(np.int64), start) > 0)
-            pick = order[np.repeat(twice & (n > 1), n)]
-            if len(pick):
-                yield from out(key[pick], pos[pick])
+            _, n = tx.runs(h[order])
+            pick = order[np.repeat(n > 1, n)]
+            yield _answer(key[pick], pos[pick], parts)
 
-    return routing.exchange(packed, parts).mapInArrow(run, "row_key long, data binary")
+    return routing.exchange(packed, parts).mapInArrow(run, routing.SCHEMA)
 
 
-def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, parts: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False, parts: int | None = None, also: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, and the kept words as ``text`` if asked.
 
+    A text that loses nothing is returned as it is, null as null.  Columns named in ``also``
+    come along, under the names also_0, also_1 and so on.
+
     One row for each row of ``docs``.  The texts are shuffled once, by row key;
     both joins read that exchange.
     """
     parts = parts or routing.partitions(docs.sparkSession)
-    rows = keyed(docs, id_col, text_col)
-
-    def gathered(x):
-        return x.groupBy("row_key").agg(F.collect_list("data").alias("data"))
+    rows = keyed(docs, id_col, text_col, also)
+    extra = [f"also_{k}" for k in range(len(also))]
 
-    found = gathered(hits(probes(rows, size, parts), parts))
+    found = gathered(hits(probes(rows, size, parts), parts), parts)
     # the id comes along so that both joins have the same columns and share one exchange
-    near = rows.join(found, "row_key").select("row_key", "text", "data", "doc_id")
-    covers = gathered(repeats(candidates(near, size, parts), parts))
+    near = rows.join(found, "row_key").select("row_key", "text", "data", "doc_id", *extra)
+    covers = gathered(repeats(candidates(near, size, parts), parts), parts)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    names = [x.split()[0] for x in schema.split(", ")] + extra
+    schema += "".join(f", {n} {docs.schema[c].dataType.simpleString()}" for n, c in zip(extra, also))
 
     def finish(batches):
         for batch in batches:
@@ -291,19 +289,19 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
                     own = raw[offs[k] : offs[k + 1]].split()
                     n, spans = len(own), lists[i + k]
                     if spans is not None:
-                        a = np.frombuffer(b"".join(spans), "<u4").reshape(-1, 2).astype(np.int64)
-                        gone = _cover(a[:, 0], a[:, 1] + size - 1, n)
+                        at = np.frombuffer(spans, "<u4").astype(np.int64)
+                        gone = _cover(at, at + size, n)
                         own = [w for w, g in zip(own, gone.tolist()) if not g]
                     text = b" ".join(own)
                     words.append(n)
                     removed.append(n - len(own))
                     digest.append(hashlib.sha256(text).hexdigest())
                     if with_text:
-                        kept.append(text)
+                        kept.append(text if n > len(own) else raw[offs[k] : offs[k + 1]] if batch.column(1)[i + k].is_valid else None)
             arrays = [batch.column(0), pa.array(words, pa.int64()), pa.array(removed, pa.int64()), pa.array(digest, pa.string())]
             if with_text:
                 arrays.append(pa.array(kept, pa.binary()).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays(arrays, [x.split()[0] for x in schema.split(", ")])
+            yield pa.RecordBatch.from_arrays(arrays + batch.columns[3:], names)
 
-    both = rows.join(covers, "row_key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "data")
+    both = rows.join(covers, "row_key", "left").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "data", *extra)
     return both.mapInArrow(finish, schema)
