@@ -223,3 +223,16 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted (1 if the score is 0.5 or more)."""
     scored = score(docs, learn(docs, labels))
     return scored.select("doc_id", fitting.held_out(F.col("doc_id"), MODULUS).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is at least the threshold.  One pass, no shuffle."""
+    model = learn(docs, labels)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        for batch in batches:
+            parts = [model.score(pooled(buf, offs, model.words, model.shapes)) for _, _, buf, offs in tx.chunks(batch.column(place))]
+            yield batch.filter(pa.array(np.concatenate([np.zeros(0), *parts]) >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -158,6 +158,17 @@ def learn(docs: DataFrame, labels: DataFrame) -> Chain:
     return fit(bags, y, CATEGORIES, terms)
 
 
+def _probabilities(texts: pa.Array, chain: Chain, table: tx.HashTable):
+    """Probabilities of the texts of a batch, a chunk at a time."""
+    size = max(len(chain.terms), 1)
+    for i, j, buf, offs in tx.chunks(texts):
+        h, row = word_hashes(buf, offs)
+        term = table.get(h) if len(h) else np.zeros(0, np.int32)
+        hit = term >= 0
+        pair = np.unique(row[hit] * np.int64(size) + term[hit])
+        yield chain.predict(pair // size, pair % size, j - i)
+
+
 def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and a probability for each category, of every whole text."""
     names = [f"p_{c}" for c in chain.categories]
@@ -166,14 +177,7 @@ def score(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str =
         table = tx.HashTable(12)
         table.put(chain.terms, np.arange(len(chain.terms), dtype=np.int32))
         for batch in batches:
-            out = [np.zeros((0, len(names)))]
-            for i, j, buf, offs in tx.chunks(batch.column(1)):
-                h, row = word_hashes(buf, offs)
-                term = table.get(h) if len(h) else np.zeros(0, np.int32)
-                hit = term >= 0
-                pair = np.unique(row[hit] * np.int64(max(len(chain.terms), 1)) + term[hit])
-                out.append(chain.predict(pair // max(len(chain.terms), 1), pair % max(len(chain.terms), 1), j - i))
-            probs = np.concatenate(out)
+            probs = np.concatenate([np.zeros((0, len(names))), *_probabilities(batch.column(1), chain, table)])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(probs[:, c]) for c in range(len(names)))], ["doc_id", *names])
 
     schema = "doc_id long, " + ", ".join(f"{x} double" for x in names)
@@ -185,3 +189,18 @@ def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Data
     probs = score(docs, learn(docs, labels))
     last = F.col(f"p_{CATEGORIES[-1]}")
     return probs.withColumn("held_out", fitting.held_out(F.col("doc_id"), MODULUS)).withColumn("predicted", (last >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text is not predicted to be toxic.  One pass, no shuffle."""
+    chain = learn(docs, labels)
+    place = docs.columns.index(text_col)
+
+    def run(batches):
+        table = tx.HashTable(12)
+        table.put(chain.terms, np.arange(len(chain.terms), dtype=np.int32))
+        for batch in batches:
+            probs = np.concatenate([np.zeros((0, len(chain.categories))), *_probabilities(batch.column(place), chain, table)])
+            yield batch.filter(pa.array(probs[:, -1] < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
