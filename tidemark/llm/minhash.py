@@ -10,9 +10,10 @@ all groups of a collection: at s = 0.8 with ten groups a side that is below
 Documents with equal shingle sets are one class; all work is on classes.  A
 table's bucket is linked as a star: each member with the member of least id.
 Candidates are confirmed on the full shingle sets.  Where the members of a
-bucket are still in several components, all pairs between components are looked
-at: their signatures are compared in numpy, bucket by bucket (large buckets in
-blocks), and those that may be links are confirmed too.  No bucket is capped.
+bucket are still in several components, each is tried with the bucket's most
+central member; then all pairs between components are looked at: signatures are
+compared in numpy, bucket by bucket (large buckets in blocks), and the pairs
+that may be links are confirmed too.  No bucket is capped.
 
 Defined results: words are lower-cased (A-Z); texts of fewer words than a
 shingle have one shingle, texts without words none, and those link with
@@ -35,7 +36,7 @@ PERCENT = 80
 GROUPS = 10
 HASHES = 4 * GROUPS
 FLUSH_KEYS = 2_000_000
-BLOCK = 2048
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
 #: Agreeing minhash values below which a pair of similarity 0.8 is (1 in 100,000) unlikely.
 LEAST_AGREED = 21
 
@@ -171,8 +172,8 @@ def buckets(classes: DataFrame, parts: int) -> DataFrame:
     return routing.exchange(packed, parts).mapInArrow(meet, BUCKETS)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose full shingle sets are similar enough."""
+def full_sets(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int) -> DataFrame:
+    """(cid, shingles): the sorted shingle hashes of the classes in ``pairs``, a saved table."""
     needed = pairs.select(F.col("a").alias("cid")).union(pairs.select(F.col("b").alias("cid"))).distinct()
     wanted = classes.select("cid", "rep").join(needed, "cid", "left_semi")
 
@@ -188,8 +189,12 @@ def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int,
                         data.append(s.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(data, pa.binary())], ["cid", "shingles"])
 
-    sets = texts.join(wanted, texts.doc_id == wanted.rep).select("cid", "text").mapInArrow(full, "cid long, shingles binary").dropDuplicates(["cid"])
-    sets = scratch.saved(sets)
+    sets = texts.join(wanted, texts.doc_id == wanted.rep).select("cid", "text").mapInArrow(full, "cid long, shingles binary")
+    return scratch.saved(sets.dropDuplicates(["cid"]))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose full shingle sets are similar enough, a saved table."""
     left = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("sb"))
 
@@ -206,81 +211,158 @@ def confirmed(pairs: DataFrame, texts: DataFrame, classes: DataFrame, size: int,
                 ok[i] = 100 * same >= percent * (len(x) + len(y) - same)
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(ok)), batch.column(1).filter(pa.array(ok))], ["a", "b"])
 
-    out = scratch.saved(pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
-    scratch.drop(sets)
-    return out
+    return scratch.saved(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
 
 
-def _cross(batches, percent: int):
-    """Pairs between components inside (bucket, i, j) blocks whose signatures agree enough."""
-
-    def block(rows):
-        ids, comp, side, n = (np.concatenate([r[k] for r in rows]) for k in (0, 1, 2, 3))
-        sketch = np.concatenate([r[4] for r in rows])
-        x = np.flatnonzero(side != 2)
-        y = np.flatnonzero(side != 1)
-        for at in range(0, len(x), 64):
-            i = x[at : at + 64]
-            near = (comp[i][:, None] != comp[y]) & (100 * np.minimum(n[i][:, None], n[y]) >= percent * np.maximum(n[i][:, None], n[y]))
-            a, b = np.nonzero(near)
-            for lo in range(0, len(a), 100_000):
-                p, q = i[a[lo : lo + 100_000]], y[b[lo : lo + 100_000]]
-                ok = (sketch[p] == sketch[q]).sum(axis=1) >= LEAST_AGREED
-                p, q = ids[p[ok]], ids[q[ok]]
-                yield np.maximum(p, q), np.minimum(p, q)
-
-    def done(rows, pairs):
-        pairs += list(block(rows))
-
-    rows, name, pairs = [], None, []
+def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+    """Distinct unordered pairs, the larger id first."""
+    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+    some = np.unique(np.column_stack([np.maximum(a, b), np.minimum(a, b)]), axis=0)
+    return pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
+
+
+def _grouped(batches, names: int):
+    """Whole groups of rows with equal first columns, from batches sorted by them."""
+    name, held = None, []
     for batch in batches:
-        names = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3)])
-        values = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3, 7)]
-        sketch = np.frombuffer(b"".join(batch.column(7).to_pylist()), np.uint32).reshape(-1, HASHES)
-        cut = np.flatnonzero(np.r_[True, (names[1:] != names[:-1]).any(axis=1)]) if len(names) else []
-        for a, b in zip(cut, [*cut[1:], len(names)]):
-            if name is not None and tuple(names[a]) != name:
-                done(rows, pairs)
-                rows = []
-            name = tuple(names[a])
-            rows.append([v[a:b] for v in values] + [sketch[a:b]])
-        if pairs:
-            a, b = (np.concatenate(x) for x in zip(*pairs))
-            pairs = []
-            some = np.unique(np.column_stack([a, b]), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
-    if rows:
-        done(rows, pairs)
-    if pairs:
-        a, b = (np.concatenate(x) for x in zip(*pairs))
-        some = np.unique(np.column_stack([a, b]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(some[:, 0]), pa.array(some[:, 1])], ["a", "b"])
-
-
-def unresolved(found: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs (a > b) between the components that are still apart inside a bucket."""
-    inside = found.where("many").select("bucket", "id").join(labels, "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("component"))
-    mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size")).where("lo != hi").select("bucket", "size")
-    rows = inside.join(mixed, "bucket").join(classes.select(F.col("cid").alias("id"), "n", "sketch"), "id")
-    # a bucket is one block, or one for each two of its chunks of about BLOCK members
-    rows = rows.withColumn("chunks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
+        if not len(batch):
+            continue
+        key = np.column_stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(names)])
+        cut = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]).any(axis=1)])
+        for a, b in zip(cut, [*cut[1:], len(key)]):
+            if name is not None and name != tuple(key[a]):
+                yield name, held
+                held = []
+            name = tuple(key[a])
+            held.append(batch.slice(int(a), int(b - a)))
+    if held:
+        yield name, held
+
+
+def _long(held, k: int) -> np.ndarray:
+    return np.concatenate([h.column(k).to_numpy(zero_copy_only=False) for h in held]).astype(np.int64)
+
+
+def _sketches(held, k: int, dtype, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(x.as_buffer() for h in held for x in h.column(k)), dtype).reshape(-1, width)
+
+
+def _blocks(inside: DataFrame, extra: DataFrame) -> DataFrame:
+    """Members of buckets whose members are in several components, dealt out in blocks.
+
+    A bucket is one block, or one for each two of its chunks of about BLOCK
+    members or BLOCK_SHINGLES shingles; ``side`` tells the chunk: 0 both, 1 the first, 2 the second.
+    """
+    mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("load")).where("lo != hi")
+    rows = inside.join(mixed.drop("lo", "hi"), "bucket").join(extra, "id")
+    rows = rows.withColumn("chunks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("load") / BLOCK_SHINGLES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "component", F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2).alias("side"), "n", "sketch")
-    rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    return rows.mapInArrow(lambda batches: _cross(batches, percent), "a long, b long").distinct()
+    side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
+    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": side})
+    rows = rows.select("bucket", "i", "j", "id", "component", "side", "n", *extra.drop("id").columns)
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def central(inside: DataFrame, classes: DataFrame) -> DataFrame:
+    """Candidates of a second star: each member apart from its bucket's most central member.
+
+    Central is the member whose signature agrees most with the commonest values
+    of the bucket; copies edited in many ways are all nearest to it.
+    """
+
+    def run(batches):
+        for _, held in _grouped(batches, 3):
+            ids, comp, sketch = _long(held, 3), _long(held, 4), _sketches(held, 7, np.uint32, HASHES)
+            common = np.zeros(HASHES, np.uint32)
+            for k in range(HASHES):
+                v, c = np.unique(sketch[:, k], return_counts=True)
+                common[k] = v[c.argmax()]
+            best = np.lexsort((ids, -(sketch == common).sum(axis=1)))[0]
+            pick = (comp != comp[best]) & ((sketch == sketch[best]).sum(axis=1) >= LEAST_AGREED)
+            if pick.any():
+                yield _pairs([ids[pick]], [np.full(int(pick.sum()), ids[best])])
+
+    return _blocks(inside, classes.select(F.col("cid").alias("id"), "sketch")).mapInArrow(run, "a long, b long").distinct()
+
 
+def half_keys(members: DataFrame) -> DataFrame:
+    """(bucket, id) for each group of the first collection alone: ten wider buckets a member."""
 
-def link_classes(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> tuple[DataFrame, list[DataFrame]]:
-    """(cid, component) of all classes that link with another, and the tables to drop after use."""
+    def run(batches):
+        for batch in batches:
+            sketch = _sketches([batch], 1, np.uint32, HASHES)
+            pair = (sketch[:, 0 : 2 * GROUPS : 2].astype(np.uint64) << np.uint64(32)) | sketch[:, 1 : 2 * GROUPS : 2]
+            key = tx.mix(pair + np.arange(GROUPS, dtype=np.uint64) * np.uint64(tx.BYTE_BASE))
+            yield pa.RecordBatch.from_arrays([pa.array(key.ravel().astype(np.int64)), batch.column(0).take(pa.array(np.repeat(np.arange(len(sketch)), GROUPS)))], ["bucket", "id"])
+
+    return members.select("id", "sketch").mapInArrow(run, "bucket long, id long")
+
+
+def cross_links(inside: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a > b) between the components inside a bucket.
+
+    Each pair is looked at in the first bucket that its members share.  If their
+    sizes and signatures allow the similarity, the full sets are compared; only
+    links leave the block.
+    """
+
+    def run(batches):
+        for name, held in _grouped(batches, 3):
+            ids, comp, side, n = (_long(held, k) for k in (3, 4, 5, 6))
+            sketch = _sketches(held, 7, np.uint32, HASHES)
+            full = [np.frombuffer(x.as_buffer(), np.uint64) for h in held for x in h.column(8)]
+            pair = (sketch[:, 0 : 2 * GROUPS : 2].astype(np.uint64) << np.uint64(32)) | sketch[:, 1 : 2 * GROUPS : 2]
+            keys = tx.mix(pair + np.arange(GROUPS, dtype=np.uint64) * np.uint64(tx.BYTE_BASE)).astype(np.int64)
+            y = np.flatnonzero(side != 1)
+            left, right = [], []
+            for i in np.flatnonzero(side != 2):
+                # of one chunk each pair is seen from its later member
+                q = y if side[i] else y[y < i]
+                q = q[(comp[q] != comp[i]) & (100 * np.minimum(n[i], n[q]) >= percent * np.maximum(n[i], n[q]))]
+                q = q[(sketch[q] == sketch[i]).sum(axis=1) >= LEAST_AGREED]
+                q = q[keys[i, (keys[q] == keys[i]).argmax(axis=1)] == name[0]] if len(q) else q
+                q = q[(keys[q] == keys[i]).any(axis=1)] if len(q) else q
+                if not len(q):
+                    continue
+                own, other = full[i], np.concatenate([full[k] for k in q])
+                at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+                hit = np.r_[0, np.cumsum(own[at] == other)]
+                end = np.cumsum(n[q])
+                same = hit[end] - hit[end - n[q]]
+                ok = 100 * same >= percent * (n[i] + n[q] - same)
+                left.append(np.full(int(ok.sum()), ids[i]))
+                right.append(ids[q[ok]])
+            if any(map(len, left)):
+                yield _pairs(left, right)
+
+    extra = sketches.join(sets.select(F.col("cid").alias("id"), "shingles"), "id").select("id", "sketch", "shingles")
+    return scratch.saved(_blocks(inside, extra).mapInArrow(run, "a long, b long").distinct())
+
+
+def link_classes(texts: DataFrame, classes: DataFrame, size: int, percent: int) -> DataFrame:
+    """(cid, component) of all classes that link with another."""
     found = scratch.saved(buckets(classes, routing.partitions(texts.sparkSession)))
-    stars = scratch.saved(found.where("id != star").select(F.col("id").alias("a"), F.col("star").alias("b")).distinct())
-    links = confirmed(stars, texts, classes, size, percent)
+    stars = scratch.saved(found.where("id != star").select(F.greatest("id", "star").alias("a"), F.least("id", "star").alias("b")).distinct())
+    sets = full_sets(stars, texts, classes, size)
+    links = confirmed(stars, sets, percent)
     labels = components.components(links)
-    rest = scratch.saved(unresolved(found, labels, classes, percent).join(stars, ["a", "b"], "left_anti"))
-    if rest.limit(1).count():
-        links = links.union(confirmed(rest, texts, classes, size, percent))
+    known = classes.select(F.col("cid").alias("id"), "n", "sketch")
+
+    def placed(members):
+        return members.join(labels, "id", "left").join(known.select("id", "n"), "id").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+
+    many = found.where("many").select("bucket", "id")
+    more = scratch.saved(central(placed(many), classes).join(stars, ["a", "b"], "left_anti"))
+    if more.limit(1).count():
+        links = links.union(confirmed(more, sets, percent))
         labels = components.components(links)
-    return labels, [found, stars, rest]
+    apart = scratch.saved(many.select("id").distinct().join(known, "id"))
+    rest = cross_links(placed(half_keys(apart)), apart.select("id", "sketch"), sets, percent)
+    if rest.limit(1).count():
+        labels = components.components(links.union(rest))
+    for table in (found, stars, sets, more, apart):
+        scratch.drop(table)
+    return labels
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -289,12 +371,26 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     own = rows.where("n > 0 AND doc_id IS NOT NULL")
     classes = scratch.saved(own.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    labels, done = link_classes(texts, classes, size, percent)
+    labels = link_classes(texts, classes, size, percent)
     named = classes.select("cid", "rep").join(labels.withColumnRenamed("id", "cid"), "cid", "left").select("cid", "rep", F.coalesce("component", "cid").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = scratch.saved(named.join(least, "component").select("cid", "component_id"))
-    for table in done:
-        scratch.drop(table)
     out = rows.select("doc_id", F.col("n").alias("n_shingles"), "cid").join(named, "cid", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without near duplicates: of each group the row of least id stays.
+
+    Rows without words or without an id stay.  Of rows with equal id and text
+    one stays.
+    """
+    found = near_duplicates(docs, size, percent, id_col, text_col)
+    gone = found.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("gone")).distinct()
+    rows = docs.join(gone, docs[id_col] == F.col("gone"), "left_anti")
+    again = scratch.saved(docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("again")).count().where("count > 1").select("again"))
+    if not again.limit(1).count():
+        return rows
+    several = rows.join(again, rows[id_col] == F.col("again"), "left_semi").dropDuplicates([id_col, text_col])
+    return rows.join(again, rows[id_col] == F.col("again"), "left_anti").unionByName(several)
