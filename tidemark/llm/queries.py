@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, bpe, graphdedup, html, lm, minhash, packing, quality, substring, toxicity
+from tidemark.llm import ann, bpe, graphdedup, html, lm, minhash, oracles, packing, quality, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,4 +58,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_substring_dedup": oracles.SUBSTRING, "op5_flat_graph": oracles.EMBEDDINGS, "op7_minhash": oracles.MINHASH}
