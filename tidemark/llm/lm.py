@@ -12,7 +12,7 @@ within those a word has its unigram share.
 
 so a document's score is its base score plus a gain that needs the network and
 the head only.  The base scores of rare words come from the distributed counts,
-asked for by hash once for each document and word.
+asked for by hash.
 
 Training is truncated backpropagation with carried state, on a share of the
 segments of every training document that is the same at every size; tasks train
@@ -48,7 +48,7 @@ HIDDEN = 32
 MIX = 0.95
 SEGMENT, WINDOW = 64, 16
 SHARE, ROUNDS = 12, 2
-TRAIN_LANES, SCORE_LANES = 64, 256
+TRAIN_LANES, SCORE_LANES = 256, 512
 FLUSH_TOKENS = 1_000_000
 BLOCKS = 256
 END = np.uint64(0x2545F4914F6CDD1D)
@@ -177,7 +177,11 @@ class Unigrams:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Network:
@@ -223,8 +227,12 @@ class Network:
             zr = _sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
             z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
             c = b[:, 2 * HIDDEN :]
-            n = np.tanh(a[:, 2 * HIDDEN :] + r * c)
-            new = n + z * (h - n)
+            n = r * c
+            n += a[:, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            new = h - n
+            new *= z
+            new += n
             if keep:
                 saved.append((h, z, r, c, n))
             states[t] = h = new
@@ -486,10 +494,10 @@ def rare(docs: DataFrame, table: DataFrame, base: Unigrams, parts: int) -> DataF
 
         def flush():
             h, key = (np.concatenate(x) for x in zip(*held))
-            order = np.lexsort((h, key))
-            h, key = h[order], key[order]
+            # a word said again and again is asked for once
             start = np.flatnonzero(np.r_[True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])])
-            times = np.diff(np.r_[start, len(h)])
+            times = np.diff(np.r_[start, len(h)]) if len(h) else np.zeros(0, np.int64)
+            start = start[: len(h)]
             h, key = h[start], key[start]
 
             def pack(c):
@@ -512,7 +520,12 @@ def rare(docs: DataFrame, table: DataFrame, base: Unigrams, parts: int) -> DataF
         if n and held:
             yield flush()
 
+    def back(held):
+        key, logs, n = map(np.concatenate, zip(*held))
+        return routing.routed(routing.part_of(tx.mix(key.astype(np.uint64)), parts), 0, [key, logs, n], lambda x: [x[0].astype("<i8"), x[1].view("<i8"), *routing.small(x[2], False)])
+
     def answer(batches):
+        held, waiting = [], 0
         known, times_seen = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for batch in batches:
             for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
@@ -528,14 +541,18 @@ def rare(docs: DataFrame, table: DataFrame, base: Unigrams, parts: int) -> DataF
                     at = np.minimum(np.searchsorted(known, a[0]), len(known) - 1)
                     c = np.where(known[at] == a[0], times_seen[at], 0)
                 start = np.cumsum(size) - size
-                logs = np.add.reduceat(times * np.log10(c + 0.5), start)
-                n = np.add.reduceat(times * (c > 0), start)
-                yield routing.routed(routing.part_of(tx.mix(a[1].astype(np.uint64)), parts), 0, [a[1], logs, n], lambda x: [x[0].astype("<i8"), x[1].view("<i8"), x[2].astype("<i8")])
+                held.append((a[1], np.add.reduceat(times * np.log10(c + 0.5), start), np.add.reduceat(times * (c > 0), start)))
+                waiting += len(a[1])
+                if waiting >= FLUSH_TOKENS:
+                    yield back(held)
+                    held, waiting = [], 0
+        if held:
+            yield back(held)
 
     def total(batches):
         got = [routing.load(x.as_buffer()) for batch in batches for x in batch.column(2)]
         if got:
-            key, logs, n = (np.concatenate(x) for x in zip(*got))
+            key, logs, n = (np.concatenate(x) for x in zip(*((a[0], a[1], routing.large(a[2], a[3])) for a in got)))
             order = np.argsort(key, kind="stable")
             start, _ = tx.runs(key[order])
             if len(start):
@@ -560,10 +577,13 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
     base = Unigrams(*head(table), total, distinct)
     network = Network.start(base)
     for k in range(ROUNDS):
-        network = train(training, base, network, k, 0.01 / (1 + k))
+        network = train(training, base, network, k, 0.02 / (1 + k))
     norm = float(np.log10(base.norm))
-    got = scored(rows, base, network).join(rare(rows, table, base, parts).dropDuplicates(["row_key"]), "row_key", "left")
-    logs = F.col("head_log") + F.coalesce("rare_log", F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)
-    known = (F.col("n_head") + F.coalesce("n_rare", F.lit(0))).cast("long")
+    # equal rows have asked together: each gets its share of the answer
+    equal = rows.groupBy("row_key").agg(F.count("*").alias("equal")).where("equal > 1")
+    asked = rare(rows, table, base, parts).join(equal, "row_key", "left").withColumn("equal", F.coalesce("equal", F.lit(1)))
+    got = scored(rows, base, network).join(asked, "row_key", "left")
+    logs = F.col("head_log") + F.coalesce(F.col("rare_log") / F.col("equal"), F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)
+    known = (F.col("n_head") + F.coalesce((F.col("n_rare") / F.col("equal")).cast("long"), F.lit(0))).cast("long")
     held = fitting.held_out(F.col("doc_id"), MODULUS)
     return got.select("doc_id", held.alias("held_out"), "n_tokens", known.alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), logs.alias("base_score"), (logs + F.col("gain")).alias("score"))
