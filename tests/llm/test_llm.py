@@ -418,3 +418,21 @@ def test_gradient_of_the_network():
         down = loss()
         net.p[name][at] = keep
         assert np.isclose((up - down) / 2e-2, seen[name][at], rtol=0.05, atol=1e-3), name
+
+
+def test_training_reaches_every_token(spark, monkeypatch):
+    networks, train = [], lm.train
+
+    def kept(*args):
+        networks.append(train(*args))
+        return networks[-1]
+
+    monkeypatch.setattr(lm, "train", kept)
+    inputs = [(i, " ".join(f"v{i}x{k}" for k in range(3 + i % 7))) for i in range(140)]
+    lm.score_documents(docs_of(spark, inputs)).count()
+    held = sum(zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in inputs)
+    words = sum(len(t.split()) for i, t in inputs if zlib.crc32(str(i).encode()) % 5 != 1)
+    start = lm.Network.start(_small_base())
+    moved = (networks[-1].p["embed"] != start.p["embed"]).any(axis=1)
+    # each word is in one document and is the input of the token after it
+    assert held and words < lm.WORDS and moved[1 : words + 1].all()

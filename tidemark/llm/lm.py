@@ -14,11 +14,11 @@ so a document's score is its base score plus a gain that needs the network and
 the head only.  The base scores of rare words come from the distributed counts,
 asked for by hash.
 
-Training is truncated backpropagation with carried state, on a share of the
-segments of every training document that is the same at every size; tasks train
-on their own rows from the same start and their parameters are averaged, over
-``ROUNDS`` rounds.  Scoring runs each document from its first to its last token
-with the state carried from window to window.
+Training is truncated backpropagation over every token of every training
+document, from its first to its last with the state carried from window to
+window.  Each of ``ROUNDS`` rounds trains on its own part of the documents;
+tasks train on their own rows from the same start and their parameters are
+averaged.  Scoring runs each document through in the same way.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
 counted and scored each; without any training token every count is 0.
@@ -46,10 +46,9 @@ OUTPUTS = CLASSES + len(BANDS)  # word classes, bands of the head, the rest
 START = WORDS + len(BANDS)
 HIDDEN = 32
 MIX = 0.95
-SEGMENT, WINDOW = 64, 16
-SHARE, ROUNDS = 12, 2
+WINDOW, ROUNDS = 16, 2
 TRAIN_LANES, SCORE_LANES = 256, 512
-FLUSH_TOKENS = 1_000_000
+FLUSH_TOKENS, TRAIN_TOKENS = 1_000_000, 250_000
 BLOCKS = 256
 END = np.uint64(0x2545F4914F6CDD1D)
 
@@ -243,65 +242,87 @@ class Network:
 
         With ``grads``, adds to it and returns also the gradient of the states.
         """
-        logit = s @ self.p["out"] + self.p["out_bias"]
-        logit -= logit.max(axis=1, keepdims=True)
-        exp = np.exp(logit)
-        total = exp.sum(axis=1, keepdims=True)
+        # one column for each state: sums over the outputs run along memory
+        columns = np.ascontiguousarray(s.T)
+        logit = self.p["out"].T @ columns
+        logit += self.p["out_bias"][:, None]
+        logit -= logit.max(axis=0)
         line = np.arange(len(s))
-        logp = logit[line, group] - np.log(total[:, 0])
+        logp = logit[group, line]
+        exp = np.exp(logit, out=logit)
+        total = exp.sum(axis=0)
+        logp -= np.log(total)
         ds = None
         if grads is not None:
-            d = exp / total
-            d[line, group] -= 1
-            grads["out"] += s.T @ d
-            grads["out_bias"] += d.sum(axis=0)
-            ds = d @ self.p["out"].T
-        order = np.argsort(group, kind="stable")
+            exp /= total
+            exp[group, line] -= 1
+            grads["out"] += columns @ exp.T
+            grads["out_bias"] += exp.sum(axis=1)
+            ds = (self.p["out"] @ exp).T
+        order = np.argsort(group.astype(np.uint8), kind="stable")
         cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
+        columns, inside = columns[:, order[: cut[-1]]], np.zeros((HIDDEN, cut[-1]), np.float32)
         for k in range(CLASSES):
-            i = order[cut[k] : cut[k + 1]]
-            if not len(i):
+            a, b = cut[k], cut[k + 1]
+            if a == b:
                 continue
-            logit = s[i] @ self.p["word"][k] + self.p["word_bias"][k]
-            logit -= logit.max(axis=1, keepdims=True)
-            exp = np.exp(logit)
-            total = exp.sum(axis=1, keepdims=True)
-            own = np.arange(len(i))
-            logp[i] += logit[own, word[i]] - np.log(total[:, 0])
+            i, own = order[a:b], columns[:, a:b]
+            logit = self.p["word"][k].T @ own
+            logit += self.p["word_bias"][k][:, None]
+            logit -= logit.max(axis=0)
+            at = word[i], np.arange(b - a)
+            logp[i] += logit[at]
+            exp = np.exp(logit, out=logit)
+            total = exp.sum(axis=0)
+            logp[i] -= np.log(total)
             if grads is not None:
-                d = exp / total
-                d[own, word[i]] -= 1
-                grads["word"][k] += s[i].T @ d
-                grads["word_bias"][k] += d.sum(axis=0)
-                ds[i] += d @ self.p["word"][k].T
+                exp /= total
+                exp[at] -= 1
+                grads["word"][k] += own @ exp.T
+                grads["word_bias"][k] += exp.sum(axis=1)
+                inside[:, a:b] = self.p["word"][k] @ exp
+        if grads is not None:
+            ds[order[: cut[-1]]] += inside.T
         return logp, ds
 
-    def learn(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray, group: np.ndarray, word: np.ndarray, rate: float) -> np.ndarray:
-        """One truncated window: forward, backward, an Adam step; returns the state to carry on."""
+    def learn(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray, group: np.ndarray, word: np.ndarray, rate: float, real: np.ndarray | None = None) -> np.ndarray:
+        """One truncated window: forward, backward, an Adam step; returns the state to carry on.
+
+        Places that are not ``real`` pad the ends of lanes and have no loss.
+        """
         steps, lanes = x.shape
+        real = np.ones(x.shape, bool) if real is None else real
         states, last, saved = self.run(x, reset, h, keep=True)
         grads = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
-        _, ds = self.outputs(states.reshape(-1, HIDDEN), group.ravel(), word.ravel(), grads)
-        ds = ds.reshape(steps, lanes, HIDDEN)
+        ds = np.zeros((steps, lanes, HIDDEN), np.float32)
+        _, ds[real] = self.outputs(states[real], group[real], word[real], grads)
         u = self.p["recur"]
         carry = np.zeros((lanes, HIDDEN), np.float32)
-        dx = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
+        dx, back = (np.empty((steps, lanes, 3 * HIDDEN), np.float32) for _ in range(2))
         for t in range(steps - 1, -1, -1):
             before, z, r, c, n = saved[t]
-            d = ds[t] + carry
-            dn = d * (1 - z) * (1 - n * n)
-            dz = d * (before - n) * z * (1 - z)
-            dr = dn * c * r * (1 - r)
-            back = np.concatenate([dz, dr, dn * r], axis=1)
-            dx[t] = np.concatenate([dz, dr, dn], axis=1)
-            grads["recur"] += before.T @ back
-            carry = d * z + back @ u.T
+            d = ds[t]
+            d += carry
+            dz = before - n
+            dz *= d
+            dz *= z
+            carry = d * z
+            dn = d - carry
+            dz -= dz * z
+            dn -= dn * n * n
+            through = dn * r
+            dr = through * c
+            dr -= dr * r
+            dx[t, :, :HIDDEN], dx[t, :, HIDDEN : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dz, dr, dn
+            back[t, :, : 2 * HIDDEN], back[t, :, 2 * HIDDEN :] = dx[t, :, : 2 * HIDDEN], through
+            carry += back[t] @ u.T
             if reset[t].any():
                 carry[reset[t]] = 0
-        order = np.argsort(x.ravel(), kind="stable")
+        grads["recur"] += np.concatenate([v[0] for v in saved]).T @ back.reshape(-1, 3 * HIDDEN)
+        order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
         start, _ = tx.runs(x.ravel()[order])
         grads["embed"][x.ravel()[order][start]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], start, axis=0)
-        self._adam(grads, x.size, rate)
+        self._adam(grads, int(real.sum()), rate)
         return last
 
     def _adam(self, grads: dict, n: int, rate: float) -> None:
@@ -318,68 +339,90 @@ class Network:
             self.p[k] -= step * m / (np.sqrt(v) + np.float32(1e-7))
 
 
-def _segments(rank: np.ndarray, at: np.ndarray, keys: np.ndarray, round_: int) -> list[tuple[np.ndarray, int]]:
-    """(ranks, position in the document) of the segments of this round's share."""
-    n = np.diff(at)
-    count = -(-n // SEGMENT)
-    row = np.repeat(np.arange(len(n)), count)
-    number = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
-    pick = tx.mix(keys[row].astype(np.uint64) + number.astype(np.uint64) * np.uint64(tx.BYTE_BASE)) % np.uint64(SHARE) == round_
-    start = at[:-1][row[pick]] + number[pick] * SEGMENT
-    stop = np.minimum(start + SEGMENT, at[1:][row[pick]])
-    return [(rank[max(a - 1, 0) : b], int(k)) for a, b, k in zip(start.tolist(), stop.tolist(), number[pick].tolist())]
-
-
-def _inputs(base: Unigrams, own: np.ndarray, position: int) -> tuple[np.ndarray, np.ndarray]:
-    """Input and target ranks of a segment that was cut with one token before it."""
-    if position == 0:
-        return np.r_[START, base.input[own[:-1]]], own
-    return base.input[own[:-1]], own[1:]
-
-
-def train(docs: DataFrame, base: Unigrams, network: Network, round_: int, rate: float) -> Network:
-    """The average of the networks that the tasks train on their shares, weighted by tokens."""
+class Lanes:
+    """Training documents in lanes side by side, each whole in one lane; the network learns window by window.
+
+    What a lane holds beyond the shortest one waits for more documents, so that
+    windows are full until ``finish``.  ``done`` counts the tokens trained on.
+    """
+
+    def __init__(self, net: Network, base: Unigrams, rate: float):
+        self.net, self.base, self.rate, self.done = net, base, rate, 0
+        self.held: list[list[np.ndarray]] = [[] for _ in range(TRAIN_LANES)]
+        self.size = np.zeros(TRAIN_LANES, np.int64)
+        self.state = np.zeros((TRAIN_LANES, HIDDEN), np.float32)
+
+    def add(self, rank: np.ndarray, at: np.ndarray) -> None:
+        """Ranks of documents that begin at ``at``; longest first to the shortest lane."""
+        lengths = np.diff(at)
+        y = rank.astype(np.int64)
+        first = np.zeros(len(y), bool)
+        first[at[:-1]] = True
+        x = np.where(first, START, np.r_[START, self.base.input[y[:-1]]])
+        both = np.column_stack([x, y, first])
+        heap = [(int(n), k) for k, n in enumerate(self.size)]
+        heapq.heapify(heap)
+        for i in np.argsort(-lengths, kind="stable").tolist():
+            n, k = heap[0]
+            self.held[k].append(both[at[i] : at[i + 1]])
+            heapq.heapreplace(heap, (n + int(lengths[i]), k))
+        for n, k in heap:
+            self.size[k] = n
+
+    def learn(self) -> None:
+        """Whole windows of all lanes, as far as the shortest goes."""
+        self._run(int(self.size.min()) // WINDOW * WINDOW)
+
+    def finish(self) -> None:
+        """All that is left."""
+        self._run(int(self.size.max()))
+
+    def _run(self, stop: int) -> None:
+        if not stop:
+            return
+        order = np.argsort(-self.size, kind="stable")
+        size = self.size[order]
+        offset = np.cumsum(size) - size
+        flat = np.concatenate([v for k in order for v in self.held[k]])
+        x, y, first = flat[:, 0], flat[:, 1], flat[:, 2].astype(bool)
+        group, word = self.base.group[y], np.where((y >= 0) & (y < WORDS), y % CLASS_SIZE, -1)
+        h = self.state[order]
+        for t in range(0, stop, WINDOW):
+            live = int(np.searchsorted(-size, -t, "left"))
+            step = (t + np.arange(min(WINDOW, stop - t)))[:, None]
+            real = step < size[:live]
+            place = np.where(real, offset[:live] + step, 0)
+            n = int(real.sum())
+            # few tokens give a noisy gradient and a smaller step
+            rate = self.rate * float(np.sqrt(n / (TRAIN_LANES * WINDOW)))
+            h[:live] = self.net.learn(np.where(real, x[place], START), first[place] & real, h[:live], group[place], word[place], rate, real)
+            self.done += n
+        self.state[order] = h
+        for k, a, b in zip(order.tolist(), (offset + np.minimum(size, stop)).tolist(), (offset + size).tolist()):
+            self.held[k] = [flat[a:b]] if b > a else []
+        self.size[order] = size - np.minimum(size, stop)
+
+
+def train(docs: DataFrame, base: Unigrams, network: Network, rate: float) -> Network:
+    """The average of the networks that the tasks train on all their rows, weighted by tokens."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((base, network.flat()))
     size = -(-len(network.flat()) // BLOCKS)
 
-    def flush(net, base, held):
-        x, y, reset = [], [], []
-        for own, position in held:
-            a, b = _inputs(base, own, position)
-            x.append(a)
-            y.append(b)
-            first = np.zeros(len(b), bool)
-            first[0] = True
-            reset.append(first)
-        x, y, reset = np.concatenate(x), np.concatenate(y), np.concatenate(reset)
-        lanes = min(TRAIN_LANES, max(1, len(x) // WINDOW))
-        steps = len(x) // lanes
-        x, y, reset = (v[: lanes * steps].reshape(lanes, steps).T for v in (x, y, reset))
-        reset = reset.copy()
-        reset[0] = True
-        group, word = base.group[y], np.where((y >= 0) & (y < WORDS), y % CLASS_SIZE, -1)
-        h = np.zeros((lanes, HIDDEN), np.float32)
-        for t in range(0, steps - steps % WINDOW or steps, WINDOW):
-            s = slice(t, t + WINDOW)
-            h = net.learn(np.ascontiguousarray(x[s]), reset[s], h, group[s], word[s], rate)
-        return lanes * steps
-
     def run(batches):
         base, flat = shared.value
-        net, held, n, done = Network.unflat(flat), [], 0, 0
+        net = Network.unflat(flat)
+        lanes, n = Lanes(net, base, rate), 0
         for batch in batches:
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            for i, j, buf, offs in tx.chunks(batch.column(1)):
+            for _, _, buf, offs in tx.chunks(batch.column(0)):
                 h, at = tokens(buf, offs)
-                own = _segments(base.ranks(h), at, keys[i:j], round_)
-                held += own
-                n += sum(len(s) for s, _ in own)
-                if n >= 100_000:
-                    done += flush(net, base, held)
-                    held, n = [], 0
-        if held:
-            done += flush(net, base, held)
+                lanes.add(base.ranks(h), at)
+                n += len(h)
+                if n >= TRAIN_TOKENS:
+                    lanes.learn()
+                    n = 0
+        lanes.finish()
+        done = lanes.done
         if done:
             values = np.zeros(size * BLOCKS, np.float32)
             values[: len(flat)] = net.flat() * np.float32(done)
@@ -395,7 +438,7 @@ def train(docs: DataFrame, base: Unigrams, network: Network, round_: int, rate:
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "tokens", "sums"])
 
     schema = "block int, tokens long, sums binary"
-    got = docs.select("row_key", "text").mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect()
+    got = docs.select("text").mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect()
     shared.unpersist()
     if not got:
         return network
@@ -577,7 +620,8 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
     base = Unigrams(*head(table), total, distinct)
     network = Network.start(base)
     for k in range(ROUNDS):
-        network = train(training, base, network, k, 0.02 / (1 + k))
+        # the parts of the rounds make up all documents
+        network = train(training.where(F.pmod("row_key", F.lit(ROUNDS)) == k), base, network, 0.02 / (1 + k))
     norm = float(np.log10(base.norm))
     # equal rows have asked together: each gets its share of the answer
     equal = rows.groupBy("row_key").agg(F.count("*").alias("equal")).where("equal > 1")
