@@ -436,3 +436,30 @@ def test_training_reaches_every_token(spark, monkeypatch):
     moved = (networks[-1].p["embed"] != start.p["embed"]).any(axis=1)
     # each word is in one document and is the input of the token after it
     assert held and words < lm.WORDS and moved[1 : words + 1].all()
+
+
+def test_documents_are_trained_on_whole_and_in_order(monkeypatch):
+    monkeypatch.setattr(lm, "TRAIN_LANES", 4)
+    base = _small_base()
+    net, seen, carried = lm.Network.start(base), {}, []
+    learn = net.learn
+
+    def watched(x, reset, h, group, word, rate, real):
+        assert (word[real] >= 0).all()
+        for k in range(x.shape[1]):
+            seen.setdefault(k, []).append((reset[real[:, k], k], x[real[:, k], k]))
+        carried.append(bool(np.abs(h).sum()))
+        return learn(x, reset, h, group, word, rate, real)
+
+    net.learn = watched
+    lanes = lm.Lanes(net, base, 0.02)
+    rank = np.random.default_rng(3).integers(0, 80, 701).astype(np.int32)
+    at = np.array([0, 1, 200, 231, 300, 417, 500, 701])
+    lanes.add(rank[:300], at[:5])
+    lanes.learn()
+    lanes.add(rank[300:], at[4:] - 300)
+    lanes.learn()
+    lanes.finish()
+    assert lanes.done == 701 and any(carried[1:])
+    assert sum(len(x) for own in seen.values() for _, x in own) == 701
+    assert sum(int(r.sum()) for own in seen.values() for r, _ in own) == len(at) - 1
