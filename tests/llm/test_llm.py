@@ -307,6 +307,17 @@ def test_template_removal(spark):
     assert got == {i: (f"Text {i}", 6) for i in range(4)} | {9: ("One\n\nTwo\n\nOther", 15), 10: ("", 0), 11: ("x", 1)}
 
 
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in html.extract(df).orderBy("page_id").collect()]
+
+
+def test_blocks_that_recur_inside_articles_are_removed(spark):
+    box = '<div class="x"><p>Read our letter</p></div>'
+    pages = [f"<article><h1>Head {i % 4}</h1><p>Text {i}</p>{box}</article>" for i in range(12)] + ["<article><p>Copy</p></article>" + f"<p>{i}</p>" for i in range(30)]
+    assert texts_of(spark, pages) == [f"Head {i % 4}\n\nText {i}" for i in range(12)] + ["Copy"] * 30
+
+
 # classifiers
 
 

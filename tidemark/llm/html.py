@@ -1,20 +1,22 @@
 """Main text of web pages by removing what a site repeats.
 
 Every element subtree of a page is hashed by its tags and text.  Spark counts
-the pages of a host that hold the same subtree; subtrees on many pages of their
-host are its template and are deleted with all that is in them.  What remains
+the distinct pages of a host that hold the same subtree; subtrees on many pages
+of their host are its template and are deleted with all that is in them.  Many
+is a share of the host's distinct pages, and so many at least; pages of equal
+text are one page, so that copies do not delete each other.  What remains
 loses elements whose tag, role or class says that they are not content (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts,
 styles); of a page that marks its content with ``article`` or ``main``, that
-part is taken.  Content so marked is never deleted as a template: an article
-that a site publishes twice is still an article.
+part is taken.  Marked content as a whole is never deleted as a template; blocks
+inside it are, if they are on half of the host's pages (a notice, a share box).
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by two newlines in page order.
 
 Defined results: a null or empty page has the text ''; tags that are not closed
 end with their parent; a page without a url counts to the host ''; repeated
-rows count once each for templates and come out once each.
+rows count once for templates and come out once each.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import scratch
 
-#: A subtree is a template if it is on so many pages of a host.
-LEAST_PAGES = 3
+#: A subtree is a template if it is on so many distinct pages of a host, and on such a share of them.
+LEAST_PAGES, SHARE = 3, 0.25
+#: The same for blocks inside marked content.
+LEAST_INSIDE, SHARE_INSIDE = 10, 0.5
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -163,19 +167,21 @@ def _inside_content(e) -> bool:
     return False
 
 
-def subtrees(page: str) -> dict[str, list[int]]:
-    """Digest of each block's subtree outside marked content -> numbers of its elements."""
-    out: dict[str, list[int]] = {}
-    _, closed = parse(page)
+def subtrees(closed: list[Element]) -> dict[tuple[bool, str], list[int]]:
+    """(inside marked content, digest) of each block's subtree -> numbers of its elements."""
+    out: dict[tuple[bool, str], list[int]] = {}
     for e in closed:
-        if e.parts and e.tag in BLOCK and e.tag not in ("html", "body") and not _inside_content(e):
-            out.setdefault(e.parts, []).append(e.number)
+        if e.parts and e.tag in BLOCK and e.tag not in ("html", "body") and not e.content:
+            out.setdefault((_inside_content(e), e.parts), []).append(e.number)
     return out
 
 
 def main_text(page: str, template: frozenset[int] = frozenset()) -> str:
     """The text that is left without the numbered template elements and what is not content."""
-    texts, closed = parse(page)
+    return _shown_text(*parse(page), template)
+
+
+def _shown_text(texts: list, closed: list[Element], template: frozenset[int] = frozenset()) -> str:
     marked = any(e.content for e in closed)
     state: dict[int, bool] = {-1: not marked}
 
@@ -214,6 +220,18 @@ def _key(host: str, digest: str) -> int:
     return int.from_bytes(hashlib.blake2b(f"{host}\n{digest}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _templates(found: DataFrame, least_pages: int) -> DataFrame:
+    """The subtrees that are templates of their hosts; a row whose subtree is its host stands for the page."""
+    counts = found.groupBy("host", "subtree", "inside", "content").agg(F.count("*").alias("rows"))
+    counts = counts.groupBy("host", "subtree", "inside").agg(F.count("*").alias("pages"), F.sum("rows").alias("rows"))
+    counts = scratch.saved(counts.where((F.col("subtree") == F.col("host")) | (F.col("rows") >= least_pages)))
+    hosts = counts.where("subtree = host").select("host", F.col("pages").alias("all"))
+    inside = (F.col("pages") >= LEAST_INSIDE) & (F.col("pages") >= SHARE_INSIDE * F.col("all"))
+    outside = F.col("rows") >= least_pages
+    many = F.when(F.col("inside"), inside).otherwise(outside)
+    return counts.where("subtree != host").join(hosts, "host").where(many).select("subtree")
+
+
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of ``pages``.
 
@@ -225,17 +243,20 @@ def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, id_col: str = "pag
 
     def features(batches):
         for batch in batches:
-            keys, subs, numbers = [], [], []
+            out: list[tuple] = []
             for k, u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 host = host_of(u)
-                for digest, own in subtrees(h.as_py()).items():
-                    keys.append(k)
-                    subs.append(_key(host, digest))
-                    numbers.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(subs, pa.int64()), pa.array(numbers, pa.list_(pa.int32()))], ["row_key", "subtree", "numbers"])
-
-    found = scratch.saved(rows.select("row_key", "url", "html").mapInArrow(features, "row_key long, subtree long, numbers array<int>"))
-    template = found.groupBy("subtree").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages).select("subtree")
+                own, (texts, closed) = _key(host, ""), parse(h.as_py())
+                content = _key("", _shown_text(texts, closed))
+                out.append((k, own, content, own, False, []))
+                for (inside, digest), numbers in subtrees(closed).items():
+                    out.append((k, own, content, _key(host, ("in " if inside else "") + digest), inside, numbers))
+            columns = zip(*out) if out else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["row_key", "host", "content", "subtree", "inside", "numbers"])
+
+    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.list_(pa.int32())]
+    found = scratch.saved(rows.select("row_key", "url", "html").mapInArrow(features, "row_key long, host long, content long, subtree long, inside boolean, numbers array<int>"))
+    template = _templates(found, least_pages)
     deleted = found.join(template, "subtree").groupBy("row_key").agg(F.flatten(F.collect_list("numbers")).alias("numbers"))
 
     def squeezed(batches):
