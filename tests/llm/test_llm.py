@@ -318,6 +318,13 @@ def test_blocks_that_recur_inside_articles_are_removed(spark):
     assert texts_of(spark, pages) == [f"Head {i % 4}\n\nText {i}" for i in range(12)] + ["Copy"] * 30
 
 
+def test_copies_and_chance_repeats_are_no_template(spark):
+    side = "<div><p>Menu</p></div>"
+    copies = [f"<body>{side}<div><p>Same {k}</p></div></body>" for k in (0, 0, 0, 0)]
+    chance = [f"<body>{side}<div><p>{'Summary' if i < 4 else f'Head {i}'}</p></div><p>Text {i}</p></body>" for i in range(40)]
+    assert texts_of(spark, copies + chance) == ["Same 0"] * 4 + [f"{'Summary' if i < 4 else f'Head {i}'}\n\nText {i}" for i in range(40)]
+
+
 # classifiers
 
 

@@ -227,7 +227,7 @@ def _templates(found: DataFrame, least_pages: int) -> DataFrame:
     counts = scratch.saved(counts.where((F.col("subtree") == F.col("host")) | (F.col("rows") >= least_pages)))
     hosts = counts.where("subtree = host").select("host", F.col("pages").alias("all"))
     inside = (F.col("pages") >= LEAST_INSIDE) & (F.col("pages") >= SHARE_INSIDE * F.col("all"))
-    outside = F.col("rows") >= least_pages
+    outside = (F.col("pages") >= least_pages) & (F.col("pages") >= SHARE * F.col("all"))
     many = F.when(F.col("inside"), inside).otherwise(outside)
     return counts.where("subtree != host").join(hosts, "host").where(many).select("subtree")
 
