@@ -226,6 +226,16 @@ def test_components_of_chains_and_stars(spark):
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 120)}
 
 
+def test_one_class_that_meets_a_bucket_settled_in_a_batch_knows_of_many(spark):
+    rng = np.random.default_rng(6)
+    tight, *other = (rng.integers(0, 1 << 32, minhash.HASHES, dtype=np.uint32).tobytes() for _ in range(20))
+    rows = [(100 + i, tight) for i in range(20)] + [(3, tight)] + [(4 + i, x) for i, x in enumerate(other)]
+    classes = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2), "cid long, sketch binary")
+    got = minhash.buckets(classes, 4).toPandas()
+    assert got[got.id == 3].bucket.nunique() == minhash.GROUPS**2 and got[got.id == 3].many.all()
+    assert set(got[got.many].groupby("bucket").id.nunique()) == {21} and 4 not in set(got.id)
+
+
 # embeddings
 
 

@@ -103,12 +103,16 @@ def _keys(sketch: np.ndarray) -> np.ndarray:
     return tx.mix(left[:, :, None] + right[:, None, :] * np.uint64(tx.SEQ_BASES[1]) + number).reshape(len(sketch), -1)
 
 
-def _stars(key: np.ndarray, cid: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(key, cid, least cid of the bucket, size of the bucket) sorted by key; singles left in."""
+def _stars(key: np.ndarray, cid: np.ndarray, stands: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(key, cid, least cid of the bucket, size of the bucket) sorted by key; singles left in.
+
+    An entry counts for as many members as it ``stands`` for.
+    """
     order = np.lexsort((cid, key))
     key, cid = key[order], cid[order]
     start, n = tx.runs(key)
-    return key, cid, np.repeat(cid[start], n), np.repeat(n, n)
+    size = np.add.reduceat(stands[order], start) if len(start) else n
+    return key, cid, np.repeat(cid[start], n), np.repeat(size, n)
 
 
 def _buckets(key, cid, least, n) -> pa.RecordBatch:
@@ -123,19 +127,22 @@ def buckets(classes: DataFrame, parts: int) -> DataFrame:
     """(bucket, id, star, many): members of buckets of two classes or more.
 
     A key that many classes of one batch share is settled in the batch: its
-    members come out there, and only its least id goes on to meet the others.
+    members come out there, and only its least id goes on to meet the others,
+    with their number, so that who meets it knows of many.
     """
 
     def flush(cids, sketches):
         cid = np.concatenate(cids)
         keys = _keys(np.concatenate(sketches))
-        key, cid, least, n = _stars(keys.ravel(), np.repeat(cid, keys.shape[1]))
+        key, cid, least, n = _stars(keys.ravel(), np.repeat(cid, keys.shape[1]), np.ones(keys.size, np.int64))
         local = n > 16
         if local.any():
             pick = local
             order = [key[pick].astype("<u8"), cid[pick].astype("<i8"), least[pick].astype("<i8"), n[pick].astype("<i8")]
             yield routing.routed(np.full(int(pick.sum()), int(routing.part_of(key[pick][:1], parts)[0])), 1, order, lambda c: c)
-        on = ~local | (cid == least)
+            on = local & (cid == least)
+            yield routing.routed(routing.part_of(key[on], parts), 2, [key[on], cid[on], n[on]], lambda c: [c[0].astype("<u8"), c[1].astype("<i8"), c[2].astype("<i8")])
+        on = ~local
         yield routing.routed(routing.part_of(key[on], parts), 0, [key[on], cid[on]], lambda c: [c[0].astype("<u8"), c[1].astype("<i8")])
 
     def split(batches):
@@ -153,7 +160,7 @@ def buckets(classes: DataFrame, parts: int) -> DataFrame:
             yield from flush(cids, sketches)
 
     def meet(batches):
-        keys, cids = [], []
+        keys, cids, stands = [], [], []
         for batch in batches:
             for kind, data in zip(batch.column(1).to_pylist(), batch.column(2)):
                 a = routing.load(data.as_buffer())
@@ -162,9 +169,12 @@ def buckets(classes: DataFrame, parts: int) -> DataFrame:
                 else:
                     keys.append(a[0])
                     cids.append(a[1])
+                    stands.append(a[2] if kind == 2 else np.ones(len(a[0]), np.int64))
         if keys:
-            key, cid, least, n = _stars(np.concatenate(keys), np.concatenate(cids))
-            several = n > 1
+            key, cid, least, n = _stars(*map(np.concatenate, (keys, cids, stands)))
+            # one entry alone has met nobody here
+            _, met = tx.runs(key)
+            several = np.repeat(met, met) > 1
             yield _buckets(key[several], cid[several], least[several], n[several])
 
     # small inputs, so that a task's memory does not follow the batch size
