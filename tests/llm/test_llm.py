@@ -365,12 +365,28 @@ def test_classifiers_on_nothing_and_on_one_class(spark, module):
 
 
 def test_earlier_probabilities_reach_later_models():
-    bags = [np.array(sorted({1, 2} if i % 2 else {3, 4}), np.uint64) for i in range(200)]
+    row, col = np.repeat(np.arange(200), 2), np.array([[0, 1] if i % 2 else [2, 3] for i in range(200)]).ravel()
     y = np.column_stack([np.arange(200) % 2, np.arange(200) % 2])
-    chain = toxicity.fit(bags, y, ("first", "second"), np.array([1, 2, 3, 4], np.uint64))
+    terms = [np.array([1, 2, 3, 4], np.uint64)] * (toxicity.FOLDS + 1)
+    chain = toxicity.fit(lambda k: (row, col, y), np.arange(200) // 2 % toxicity.FOLDS, 200, ("first", "second"), terms)
     assert len(chain.weights[1]) == 5 and chain.weights[1][4] > 0.1
 
 
+def test_no_label_of_a_fold_reaches_its_own_models(spark):
+    docs = spark.createDataFrame([(i, f"common w{i % 7} " + ("vile " * (1 + i % 4) if i % 3 == 0 else "kind ")) for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    words = toxicity.sampled_words(docs, labels).toPandas()
+    flipped = labels.join(spark.createDataFrame([(int(i),) for i in words[words.fold == 2].doc_id], "doc_id long"), "doc_id", "left").withColumn("toxic", F.when(F.col("doc_id").isin([int(i) for i in words[words.fold == 2].doc_id]), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    one, other = (toxicity.marked_terms(toxicity._term_counts(toxicity.sampled_words(docs, x))) for x in (labels, flipped))
+    assert len(one[2][0]) and (one[2][0] == other[2][0]).all() and (one[2][1] == other[2][1]).all()
+    # brute force: the documents of the other folds
+    rows = {r.doc_id: set(r.text.split()) for r in docs.collect()}
+    own = [(set(rows[r.doc_id]), r.toxic) for r in words.itertuples() if r.fold != 2]
+    yes, no = [w for w, y in own if y], [w for w, y in own if not y]
+    kept = {w for w in set().union(*yes) if sum(w in d for d in yes) >= 3 and sum(w in d for d in yes) / len(yes) >= 3 * (sum(w in d for d in no) + 0.5) / len(no)}
+    assert kept == {"vile"} and len(one[2][0]) == 1
+
+
 def test_temperature_is_chosen_on_the_loss():
     rng = np.random.default_rng(0)
     z = rng.normal(0, 2, 4000)

@@ -8,7 +8,8 @@ meets them as unreliable as they will be on new documents.
 The label table has one mark, ``toxic``.  The earlier categories of the chain
 are derived from it: ``insult`` (marked, and holds a word that is far likelier
 in marked training documents) and ``severe`` (marked, and holds such words at
-least three times).  ``fit`` takes any other list of categories.
+least three times).  ``fit`` takes any other list of categories.  The words and
+the derived categories of an out-of-fold model come from its own folds alone.
 
 Models are fitted on at most ``fitting.SAMPLE_ROWS`` labelled documents and
 ``MAX_TERMS`` words.  Defined results: a null or empty text has no words and
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm import fitting
+from tidemark.llm import fitting, scratch
 from tidemark.llm import text as tx
 
 CATEGORIES = ("insult", "severe", "toxic")
@@ -45,7 +46,8 @@ def word_hashes(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarr
     """Hashes of the letter-and-digit words, lower-cased, and the row of each."""
     clean = _WORDS[tx.lowered(buf)]
     starts, ends, first = tx.word_spans(clean, offs)
-    return tx.span_hash(clean, starts, ends), np.repeat(np.arange(len(offs) - 1), np.diff(first))
+    # 0 stands for the document itself in the counts
+    return np.maximum(tx.span_hash(clean, starts, ends), np.uint64(1)), np.repeat(np.arange(len(offs) - 1), np.diff(first))
 
 
 @dataclass
@@ -83,79 +85,156 @@ def _fit_linear(rows: np.ndarray, cols: np.ndarray, n: int, terms: int, extra: n
     return w, float(b[0])
 
 
-def fit(docs: list[np.ndarray], labels: np.ndarray, categories: tuple[str, ...], terms: np.ndarray) -> Chain:
-    """docs: distinct word hashes of each; labels [n, categories] 0/1; terms: sorted hashes."""
-    n, size = len(docs), len(terms)
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.uint64)
-    row = np.repeat(np.arange(n), [len(d) for d in docs])
-    at = np.minimum(np.searchsorted(terms, flat), max(size - 1, 0))
-    hit = terms[at] == flat if size else np.zeros(len(flat), bool)
-    row, col = row[hit], at[hit]
-    fold = np.arange(n) % FOLDS
+def fit(view, fold: np.ndarray, n: int, categories: tuple[str, ...], terms: list[np.ndarray]) -> Chain:
+    """view(k): (rows, columns, labels [n, categories] 0/1) without what fold k tells; view(FOLDS): of all.
+
+    terms: the sorted hashes that the columns of each view stand for.
+    """
+    size = [len(t) for t in terms]
+    seen = [view(k) for k in range(FOLDS + 1)]
     probs = np.zeros((n, 0))
     weights, biases = [], []
     for c in range(len(categories)):
-        y = labels[:, c].astype(float)
-        w, b = _fit_linear(row, col, n, size, probs, y)
+        row, col, y = seen[FOLDS]
+        w, b = _fit_linear(row, col, n, size[FOLDS], probs, y[:, c].astype(float))
         weights.append(w)
         biases.append(b)
         out = np.zeros(n)  # out-of-fold, for the models that follow
         for k in range(FOLDS if c + 1 < len(categories) else 0):
+            row, col, y = seen[k]
             train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             place = np.full(n, -1)
             place[train] = np.arange(len(train))
             own = place[row] >= 0
-            wk, bk = _fit_linear(place[row[own]], col[own], len(train), size, probs[train], y[train])
-            z = bk + np.bincount(row, wk[col], n)[test] + probs[test] @ wk[size:]
+            wk, bk = _fit_linear(place[row[own]], col[own], len(train), size[k], probs[train], y[train, c].astype(float))
+            z = bk + np.bincount(row, wk[col], n)[test] + probs[test] @ wk[size[k] :]
             out[test] = fitting.sigmoid(z)
         probs = np.column_stack([probs, out])
-    return Chain(terms, weights, biases, categories)
-
-
-def marked_terms(docs: list[np.ndarray], marked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(kept word hashes, sorted; which of them are strong marks) by smoothed likelihood ratio."""
-    empty = np.zeros(0, np.uint64)
-    yes, no = ([d for d, m in zip(docs, marked) if bool(m) is k] for k in (True, False))
-    if not yes or not no:
-        return empty, np.zeros(0, bool)
-    a, na = np.unique(np.concatenate(yes), return_counts=True)
-    b, nb = np.unique(np.concatenate(no), return_counts=True)
-    other = np.zeros(len(a))
-    if len(b):
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        other = np.where(b[at] == a, nb[at], 0)
-    ratio = (na / len(yes)) / ((other + 0.5) / len(no))
-    keep = np.flatnonzero((na >= LEAST_MARKED) & (ratio >= LEAST_RATIO))
-    gain = na[keep] * np.log(ratio[keep])
-    keep = np.sort(keep[np.argsort(-gain, kind="stable")[:MAX_TERMS]])
-    # strong: also in a fair share of all marked documents, not in the copies of one
-    return a[keep], (ratio[keep] >= STRONG_RATIO) & (na[keep] >= max(LEAST_MARKED, 0.05 * len(yes)))
+    return Chain(terms[FOLDS], weights, biases, categories)
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Chain:
-    """Fits the default chain on the training rows of the ``toxic`` labels."""
+def sampled_words(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic, fold, words (distinct hashes, then their counts) of the labelled sample, a saved table."""
     sample = fitting.labelled(docs, labels, ["toxic"], MODULUS)
 
     def words(batches):
         for batch in batches:
             out = []
-            for i, j, buf, offs in tx.chunks(batch.column(1)):
+            for i, j, buf, offs in tx.chunks(batch.column(3)):
                 h, row = word_hashes(buf, offs)
                 cut = np.searchsorted(row, np.arange(j - i + 1))
                 for k in range(j - i):
                     some, n = np.unique(h[cut[k] : cut[k + 1]], return_counts=True)
                     out.append(np.concatenate([some, n.astype(np.uint64)]).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out, pa.binary())], ["doc_id", "toxic", "words"])
-
-    got = sample.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(words, "doc_id long, toxic int, words binary").toPandas().sort_values("doc_id", kind="stable")
-    both = [np.frombuffer(x, np.uint64).reshape(2, -1) for x in got["words"]]
-    bags, counts = [x[0] for x in both], [x[1] for x in both]
-    toxic = got["toxic"].to_numpy(int) > 0
-    terms, strong = marked_terms(bags, toxic)
-    marks = terms[strong]
-    hits = np.array([int(n[np.isin(d, marks)].sum()) for d, n in zip(bags, counts)], int) if len(marks) else np.zeros(len(bags), int)
-    y = np.column_stack([toxic & (hits >= 1), toxic & (hits >= 3), toxic]).astype(int) if len(bags) else np.zeros((0, 3), int)
-    return fit(bags, y, CATEGORIES, terms)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out, pa.binary())], ["doc_id", "toxic", "fold", "words"])
+
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(FOLDS)), F.lit(FOLDS)).cast("int").alias("fold")
+    rows = sample.select("doc_id", (F.col("toxic").cast("int") > 0).cast("int").alias("toxic"), fold, "text")
+    return scratch.saved(rows.mapInArrow(words, "doc_id long, toxic int, fold int, words binary"))
+
+
+#: Stands among the terms for the documents themselves, so that their number comes with the counts.
+_DOCUMENT = np.uint64(0)
+
+
+def _term_counts(words: DataFrame) -> DataFrame:
+    """term, n0 .. : documents that hold the term, for each fold and label; summed in the tasks first."""
+
+    def run(batches):
+        terms, slots = [], []
+        for batch in batches:
+            slot = 2 * batch.column(1).to_numpy() + batch.column(0).to_numpy()
+            for x, k in zip(batch.column(2), slot.tolist()):
+                own = np.frombuffer(x.as_buffer(), np.uint64)
+                terms += [own[: len(own) // 2], np.array([_DOCUMENT])]
+                slots.append(np.full(len(own) // 2 + 1, k))
+        if terms:
+            t, k = np.concatenate(terms), np.concatenate(slots)
+            order = np.lexsort((k, t))
+            t, k = t[order], k[order]
+            start = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (k[1:] != k[:-1])])
+            yield pa.RecordBatch.from_arrays([pa.array(t[start].astype(np.int64)), pa.array(k[start].astype(np.int32)), pa.array(np.diff(np.r_[start, len(t)]))], ["term", "slot", "n"])
+
+    rows = words.select("toxic", "fold", "words").mapInArrow(run, "term long, slot int, n long")
+    return rows.groupBy("term").agg(*(F.sum(F.when(F.col("slot") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(2 * FOLDS)))
+
+
+def marked_terms(counts: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each fold left out, then for none: (kept hashes, sorted; which of them are strong marks).
+
+    A term is kept by its smoothed likelihood ratio in the documents of the
+    other folds alone, so no held-back label reaches the choice.
+    """
+    at = np.int64(_DOCUMENT.astype(np.int64))
+    documents = counts.where(F.col("term") == F.lit(int(at))).first()
+    empty = np.zeros(0, np.uint64), np.zeros(0, bool)
+    out = []
+    for left_out in range(FOLDS + 1):
+        own = [k for k in range(FOLDS) if k != left_out]
+        yes, no = (sum(int(documents[f"n{2 * k + mark}"]) for k in own) if documents else 0 for mark in (1, 0))
+        if not yes or not no:
+            out.append(empty)
+            continue
+        a, b = (sum((F.col(f"n{2 * k + mark}") for k in own), F.lit(0)) for mark in (1, 0))
+        ratio = (a / yes) / ((b + 0.5) / no)
+        some = counts.where(F.col("term") != F.lit(int(at))).select("term", a.alias("a"), ratio.alias("ratio")).where((F.col("a") >= LEAST_MARKED) & (F.col("ratio") >= LEAST_RATIO))
+        got = some.orderBy(F.desc(F.col("a") * F.log("ratio")), "term").limit(MAX_TERMS).toPandas()
+        terms, n = got["term"].to_numpy(np.int64).astype(np.uint64), got["a"].to_numpy(float)
+        order = np.argsort(terms)
+        # strong: also in a fair share of all marked documents, not in the copies of one
+        strong = (got["ratio"].to_numpy(float) >= STRONG_RATIO) & (n >= max(LEAST_MARKED, 0.05 * yes))
+        out.append((terms[order], strong[order]))
+    return out
+
+
+def _hits(words: DataFrame, terms: np.ndarray):
+    """doc_id, toxic, fold and, of each sampled document, the places in ``terms`` and their counts."""
+
+    def run(batches):
+        for batch in batches:
+            places, times = [], []
+            for x in batch.column(3):
+                own, n = np.frombuffer(x.as_buffer(), np.uint64).reshape(2, -1)
+                at = np.minimum(np.searchsorted(terms, own), max(len(terms) - 1, 0))
+                hit = terms[at] == own if len(terms) else np.zeros(len(own), bool)
+                places.append(at[hit].astype("<u2").tobytes())
+                times.append(np.minimum(n[hit], 255).astype("u1").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(places, pa.binary()), pa.array(times, pa.binary())], ["doc_id", "toxic", "fold", "places", "times"])
+
+    return words.mapInArrow(run, "doc_id long, toxic int, fold int, places binary, times binary").toPandas().sort_values("doc_id", kind="stable")
+
+
+def learn(docs: DataFrame, labels: DataFrame) -> Chain:
+    """Fits the default chain on the training rows of the ``toxic`` labels.
+
+    Terms are counted and chosen in Spark; the driver gets the chosen terms and
+    the pairs of sampled documents and chosen terms, never the words of texts.
+    """
+    words = sampled_words(docs, labels)
+    counts = scratch.saved(_term_counts(words))
+    chosen = marked_terms(counts)
+    scratch.drop(counts)
+    every = np.unique(np.concatenate([t for t, _ in chosen]))
+    got = _hits(words, every)
+    scratch.drop(words)
+    sizes = [len(x) for x in got["times"]]
+    row = np.repeat(np.arange(len(got)), sizes)
+    col = np.frombuffer(b"".join(got["places"]), "<u2").astype(np.int64)
+    times = np.frombuffer(b"".join(got["times"]), "u1").astype(np.int64)
+    toxic, fold = got["toxic"].to_numpy(int) > 0, got["fold"].to_numpy(int)
+
+    def view(k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Rows, columns and category labels as the models that leave out fold k see them."""
+        terms, strong = chosen[k]
+        place = np.full(len(every), -1)
+        place[np.searchsorted(every, terms)] = np.arange(len(terms))
+        own = place[col]
+        loud = np.zeros(len(every), bool)
+        loud[np.searchsorted(every, terms[strong])] = True
+        n = np.bincount(row, times * loud[col], len(got))
+        return row[own >= 0], own[own >= 0], np.column_stack([toxic & (n >= 1), toxic & (n >= 3), toxic]).astype(int)
+
+    return fit(view, fold, len(got), CATEGORIES, [t for t, _ in chosen])
 
 
 def _probabilities(texts: pa.Array, chain: Chain, table: tx.HashTable):
