@@ -132,11 +132,57 @@ def test_packing_is_gapless_and_whole(spark, rows):
     assert padded == 0
 
 
+def packed(lengths, capacity=1024):
+    """(document, start, length, sequence, offset) of documents of these lengths, by one worker."""
+    packer, out = packing.Packer(0, capacity), []
+    for i, n in enumerate(lengths):
+        out += packer.add(i, n)
+    out += packer.rest()
+    return [(*p, s, at) for p, s, at in out]
+
+
 def test_harmonic_bins_take_a_fixed_count():
     packer = packing.Packer(0, 1024)
-    done = [x for n in (300, 300, 340, 600, 290) for x in packer.add((n,), n)]
-    assert [(p[0], at) for p, _, at in done] == [(300, 0), (300, 300), (340, 600), (600, 0)]
-    assert [p[0] for p, _, _ in packer.rest()] == [290]
+    lengths = (300, 300, 340, 600, 290)
+    assert [x for i, n in enumerate(lengths) for x in packer.add(i, n)] == [] and [len(g[1]) for g in packer.gaps] == [3, 1]
+    # a long document fills the gaps of 84 and 424, in order
+    got = list(packer.add("long", 1500))
+    assert got == [((0, 0, 300), 0, 0), ((1, 0, 300), 0, 300), ((2, 0, 340), 0, 600), (("long", 0, 84), 0, 940), ((3, 0, 600), 1, 0), (("long", 84, 424), 1, 600)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 200), max_size=120))
+def test_packing_of_any_lengths_is_whole_and_unpadded(lengths):
+    got = packed(lengths, 64)
+    parts, bins = {}, {}
+    for d, start, n, s, at in got:
+        parts.setdefault(d, []).append((start, n))
+        bins.setdefault(s, []).append((at, n))
+    assert {d: sum(n for _, n in p) for d, p in parts.items()} == dict(enumerate(lengths))
+    for own, whole in [*((p, None) for p in parts.values()), *((b, 64) for b in bins.values())]:
+        ends = 0
+        for at, n in sorted(own):
+            assert at == ends and n > 0
+            ends += n
+        assert whole is None or ends == 64 or ends < 64 and ends & (ends - 1) == 0
+    assert sum(1 for b in bins.values() if sum(n for _, n in b) < 64) <= 6
+
+
+@pytest.mark.parametrize("most, share", [(1024, 0.85), (1500, 0.99), (4000, 0.99)])
+def test_documents_that_fit_stay_whole(monkeypatch, most, share):
+    monkeypatch.setattr(packing, "MOST_GAPS", 64)
+    lengths = np.random.default_rng(1).integers(1, most, 20_000).tolist()
+    got = packed(lengths)
+    pieces = Counter(d for d, *_ in got)
+    fit = [i for i, n in enumerate(lengths) if n <= 1024]
+    assert sum(pieces[i] == 1 for i in fit) >= share * len(fit)
+
+
+def test_packing_on_nothing_and_on_clashes(spark):
+    assert packing.pack(docs_of(spark, []), P.path("byte_bpe_50k.json")).count() == 0
+    df = docs_of(spark, [(1, None), (1, None), (None, "a b")]).withColumns({"start": F.lit("x"), "sequence_id": F.lit("y"), "ids": F.lit("z")}).coalesce(1)
+    got = Counter(map(tuple, packing.pack(df, P.path("byte_bpe_50k.json"), with_ids=True).select("doc_id", "start", "length", "doc_tokens").collect()))
+    assert got[1, 0, 1, 1] == 2 and sum(n for (d, *_), n in got.items() if d is None) >= 1
 
 
 # substring deduplication
