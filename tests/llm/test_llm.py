@@ -478,7 +478,7 @@ def test_state_is_carried_over_windows():
     base = _small_base()
     net = lm.Network.start(base)
     rng = np.random.default_rng(2)
-    rank = rng.integers(-1, 80, 300).astype(np.int32)
+    rank = rng.integers(0, 80, 300).astype(np.uint16)
     whole = lm.gains(net, base, rank, np.array([0, 100, 300]))
     alone = [lm.gains(net, base, rank[a:b], np.array([0, b - a]))[0] for a, b in ((0, 100), (100, 300))]
     assert np.allclose(whole, alone, atol=1e-3)
@@ -489,7 +489,7 @@ def test_gradient_of_the_network():
     net = lm.Network.start(base)
     rng = np.random.default_rng(4)
     y = rng.integers(0, 80, (8, 2))
-    x, group = base.input[np.r_[[[0, 0]], y[:-1]]], base.group[y]
+    x, group = np.r_[[[0, 0]], y[:-1]], y // lm.CLASS_SIZE
     reset, h = np.zeros((8, 2), bool), np.zeros((2, lm.HIDDEN), np.float32)
 
     def loss():
@@ -528,6 +528,22 @@ def test_training_reaches_every_token(spark, monkeypatch):
     assert held and words < lm.WORDS and moved[1 : words + 1].all()
 
 
+def test_held_out_gain_does_not_depend_on_the_partitions(spark, tables):
+    docs, got = tables[0], []
+    for n in (1, 7):
+        rows = lm.score_documents(docs.repartition(n)).toPandas().sort_values("doc_id").reset_index(drop=True)
+        held = rows[rows.held_out]
+        assert (held.score.sum() - held.base_score.sum()) / held.n_tokens.sum() >= 0.05
+        got.append(rows)
+    assert np.abs(got[0].score - got[1].score).max() <= 1e-4 and (got[0].doc_id == got[1].doc_id).all()
+
+
+def test_scores_of_nothing_and_of_a_very_long_text(spark):
+    assert lm.score_documents(docs_of(spark, [])).count() == 0
+    got = lm.score_documents(docs_of(spark, [(1, "a b " * 100_000), (2, None), (2, None)])).toPandas()
+    assert sorted(got.n_tokens) == [1, 1, 200_001] and np.isfinite(got.score).all()
+
+
 def test_documents_are_trained_on_whole_and_in_order(monkeypatch):
     monkeypatch.setattr(lm, "TRAIN_LANES", 4)
     base = _small_base()
@@ -542,7 +558,7 @@ def test_documents_are_trained_on_whole_and_in_order(monkeypatch):
         return learn(x, reset, h, group, word, rate, real)
 
     net.learn = watched
-    lanes = lm.Lanes(net, base, 0.02)
+    lanes = lm.Lanes(net, 0.02)
     rank = np.random.default_rng(3).integers(0, 80, 701).astype(np.int32)
     at = np.array([0, 1, 200, 231, 300, 417, 500, 701])
     lanes.add(rank[:300], at[:5])

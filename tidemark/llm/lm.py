@@ -14,11 +14,16 @@ so a document's score is its base score plus a gain that needs the network and
 the head only.  The base scores of rare words come from the distributed counts,
 asked for by hash.
 
+Texts are tokenised twice: to count, and to be encoded into a saved table of two
+bytes a token, which training and scoring read, and the hashes of rare words.
+
 Training is truncated backpropagation over every token of every training
 document, from its first to its last with the state carried from window to
-window.  Each of ``ROUNDS`` rounds trains on its own part of the documents;
-tasks train on their own rows from the same start and their parameters are
-averaged.  Scoring runs each document through in the same way.
+window.  The documents are dealt by hash to one learner for each
+``LEARNER_TOKENS`` tokens of the corpus and to rounds of growing ``SHARES``;
+the learners of a round start from the same parameters, which are averaged
+after it.  So the model depends on the corpus, not on its partitions.  Scoring
+runs each document through in the same way.
 
 Defined results: a null or empty text is the end token alone; repeated rows are
 counted and scored each; without any training token every count is 0.
@@ -46,7 +51,10 @@ OUTPUTS = CLASSES + len(BANDS)  # word classes, bands of the head, the rest
 START = WORDS + len(BANDS)
 HIDDEN = 32
 MIX = 0.95
-WINDOW, ROUNDS = 16, 2
+WINDOW = 16
+#: Training tokens of a learner in all rounds; each round's share of the documents in 16ths and its rate.
+LEARNER_TOKENS = 2_000_000
+SHARES, RATES = (2, 2, 4, 8), (0.02, 0.015, 0.01, 0.005)
 TRAIN_LANES, SCORE_LANES = 256, 512
 FLUSH_TOKENS, TRAIN_TOKENS = 1_000_000, 250_000
 BLOCKS = 256
@@ -162,8 +170,8 @@ class Unigrams:
         self.mass[-1] += max(self.norm - self.smoothed.sum(), 0.5)
         self.word_mass = np.zeros(WORDS)
         self.word_mass[: min(WORDS, len(c))] = self.smoothed[:WORDS]
-        self.group = np.r_[group, OUTPUTS - 1]  # the last entry serves rank -1
-        self.input = np.r_[np.where(rank < WORDS, rank, WORDS + group - CLASSES), WORDS + len(BANDS) - 1]
+        # what the network reads for a rank; the last entry serves rank -1
+        self.symbol = np.r_[np.where(rank < WORDS, rank, WORDS + group - CLASSES), WORDS + len(BANDS) - 1].astype(np.uint16)
 
     def ranks(self, h: np.ndarray) -> np.ndarray:
         if not hasattr(self, "table"):
@@ -174,6 +182,18 @@ class Unigrams:
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "table"}
 
+    def scores_only(self) -> Unigrams:
+        """Without the head, for tasks that read symbols."""
+        out = object.__new__(Unigrams)
+        out.norm, out.mass, out.word_mass = self.norm, self.mass, self.word_mass
+        return out
+
+
+def _targets(symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Output class of each symbol and the word's place in it, -1 outside word classes."""
+    inside = symbol < WORDS
+    return np.where(inside, symbol // CLASS_SIZE, CLASSES + symbol - WORDS), np.where(inside, symbol % CLASS_SIZE, -1)
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     """In place."""
@@ -346,19 +366,19 @@ class Lanes:
     windows are full until ``finish``.  ``done`` counts the tokens trained on.
     """
 
-    def __init__(self, net: Network, base: Unigrams, rate: float):
-        self.net, self.base, self.rate, self.done = net, base, rate, 0
+    def __init__(self, net: Network, rate: float):
+        self.net, self.rate, self.done = net, rate, 0
         self.held: list[list[np.ndarray]] = [[] for _ in range(TRAIN_LANES)]
         self.size = np.zeros(TRAIN_LANES, np.int64)
         self.state = np.zeros((TRAIN_LANES, HIDDEN), np.float32)
 
-    def add(self, rank: np.ndarray, at: np.ndarray) -> None:
-        """Ranks of documents that begin at ``at``; longest first to the shortest lane."""
+    def add(self, symbols: np.ndarray, at: np.ndarray) -> None:
+        """Symbols of documents that begin at ``at``; longest first to the shortest lane."""
         lengths = np.diff(at)
-        y = rank.astype(np.int64)
+        y = symbols.astype(np.int64)
         first = np.zeros(len(y), bool)
         first[at[:-1]] = True
-        x = np.where(first, START, np.r_[START, self.base.input[y[:-1]]])
+        x = np.where(first, START, np.r_[START, y[:-1]])
         both = np.column_stack([x, y, first])
         heap = [(int(n), k) for k, n in enumerate(self.size)]
         heapq.heapify(heap)
@@ -385,7 +405,7 @@ class Lanes:
         offset = np.cumsum(size) - size
         flat = np.concatenate([v for k in order for v in self.held[k]])
         x, y, first = flat[:, 0], flat[:, 1], flat[:, 2].astype(bool)
-        group, word = self.base.group[y], np.where((y >= 0) & (y < WORDS), y % CLASS_SIZE, -1)
+        group, word = _targets(y)
         h = self.state[order]
         for t in range(0, stop, WINDOW):
             live = int(np.searchsorted(-size, -t, "left"))
@@ -403,47 +423,59 @@ class Lanes:
         self.size[order] = size - np.minimum(size, stop)
 
 
-def train(docs: DataFrame, base: Unigrams, network: Network, rate: float) -> Network:
-    """The average of the networks that the tasks train on all their rows, weighted by tokens."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((base, network.flat()))
-    size = -(-len(network.flat()) // BLOCKS)
+def train(rows: DataFrame, learners: int, network: Network, rate: float) -> Network:
+    """The average of the networks that the learners train on all their documents, weighted by tokens.
+
+    rows: learner, row_key, symbols.  A learner's documents come in order of
+    their keys, so that the same corpus gives the same network.
+    """
+    spark = rows.sparkSession
+    flat = network.flat()
+    shared = spark.sparkContext.broadcast(flat)
+    size = -(-len(flat) // BLOCKS)
+
+    def result(learner: int, lanes: Lanes) -> pa.RecordBatch:
+        lanes.finish()
+        values = np.zeros(size * BLOCKS, np.float32)
+        values[: len(flat)] = lanes.net.flat() * np.float32(lanes.done)
+        columns = [pa.array(range(BLOCKS), pa.int32()), pa.array([learner] * BLOCKS, pa.int32()), pa.array([lanes.done] * BLOCKS, pa.int64()), pa.array([b.tobytes() for b in values.reshape(BLOCKS, size)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["block", "learner", "tokens", "sums"])
 
     def run(batches):
-        base, flat = shared.value
-        net = Network.unflat(flat)
-        lanes, n = Lanes(net, base, rate), 0
+        learner, lanes, n = None, None, 0
         for batch in batches:
-            for _, _, buf, offs in tx.chunks(batch.column(0)):
-                h, at = tokens(buf, offs)
-                lanes.add(base.ranks(h), at)
-                n += len(h)
-                if n >= TRAIN_TOKENS:
-                    lanes.learn()
-                    n = 0
-        lanes.finish()
-        done = lanes.done
-        if done:
-            values = np.zeros(size * BLOCKS, np.float32)
-            values[: len(flat)] = net.flat() * np.float32(done)
-            blocks = values.reshape(BLOCKS, size)
-            yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([done] * BLOCKS, pa.int64()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "tokens", "sums"])
+            own = batch.column(0).to_numpy()
+            start, size_ = tx.runs(own)
+            for a, k in zip(start.tolist(), size_.tolist()):
+                if own[a] != learner:
+                    if lanes is not None:
+                        yield result(learner, lanes)
+                    learner, lanes, n = int(own[a]), Lanes(Network.unflat(shared.value), rate), 0
+                for _, _, buf, offs in tx.chunks(batch.column(1).slice(a, k)):
+                    lanes.add(np.frombuffer(buf.tobytes(), "<u2"), offs // 2)
+                    n += len(buf) // 2
+                    if n >= TRAIN_TOKENS:
+                        lanes.learn()
+                        n = 0
+        if lanes is not None:
+            yield result(learner, lanes)
 
     def add(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [(k.as_py(), n.as_py(), np.frombuffer(x.as_buffer(), np.float32)) for b in batches for k, n, x in zip(b.column(1), b.column(2), b.column(3))]
         total, n = np.zeros(size), 0
-        for batch in batches:
-            n += int(np.sum(batch.column(1).to_numpy()))
-            for x in batch.column(2):
-                total += np.frombuffer(x.as_buffer(), np.float32)
+        for _, tokens_, sums in sorted(got, key=lambda x: x[0]):
+            total += sums
+            n += tokens_
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["block", "tokens", "sums"])
 
-    schema = "block int, tokens long, sums binary"
-    got = docs.select("text").mapInArrow(run, schema).groupBy("block").applyInArrow(add, schema).collect()
+    dealt = rows.select("learner", "symbols", "row_key").repartitionById(learners, "learner").sortWithinPartitions("learner", "row_key").select("learner", "symbols")
+    trained = dealt.mapInArrow(run, "block int, learner int, tokens long, sums binary")
+    got = trained.groupBy("block").applyInArrow(add, "block int, tokens long, sums binary").collect()
     shared.unpersist()
     if not got:
         return network
     values = np.concatenate([np.frombuffer(r.sums, np.float64) / r.tokens for r in sorted(got, key=lambda r: r.block)])
-    return Network.unflat(values[: len(network.flat())])
+    return Network.unflat(values[: len(flat)])
 
 
 def _lanes(lengths: np.ndarray, lanes: int) -> list[list[int]]:
@@ -458,21 +490,18 @@ def _lanes(lengths: np.ndarray, lanes: int) -> list[list[int]]:
     return [out[k] for k in sorted(size, key=lambda k: -size[k])]
 
 
-def gains(network: Network, base: Unigrams, rank: np.ndarray, at: np.ndarray) -> np.ndarray:
+def gains(network: Network, base: Unigrams, symbols: np.ndarray, at: np.ndarray) -> np.ndarray:
     """For each document, the sum over its tokens of log10 P(token) / base(token)."""
     lengths = np.diff(at)
     plan = _lanes(lengths, SCORE_LANES)
     order = np.concatenate([np.array(x, np.int64) for x in plan]) if len(lengths) else np.zeros(0, np.int64)
-    take = tx.ranges(at[:-1][order], lengths[order])
-    y = rank[take]
+    y = symbols[tx.ranges(at[:-1][order], lengths[order])].astype(np.int64)
     doc = np.repeat(order, lengths[order])
     first = np.zeros(len(y), bool)
     first[np.cumsum(lengths[order]) - lengths[order]] = True
-    x = np.where(first, START, np.r_[START, base.input[y[:-1]]] if len(y) else y)
-    group = base.group[y]
-    in_words = (y >= 0) & (y < WORDS)
-    word = np.where(in_words, y % CLASS_SIZE, -1)
-    log_base = np.log(np.where(in_words, base.word_mass[np.where(in_words, y, 0)], base.mass[group]) / base.norm)
+    x = np.where(first, START, np.r_[START, y[:-1]] if len(y) else y)
+    group, word = _targets(y)
+    log_base = np.log(np.where(word >= 0, base.word_mass[np.minimum(y, WORDS - 1)], base.mass[group]) / base.norm)
     size = np.array([int(lengths[p].sum()) for p in plan])
     offset = np.cumsum(size) - size
     out = np.zeros(len(lengths))
@@ -492,32 +521,58 @@ def gains(network: Network, base: Unigrams, rank: np.ndarray, at: np.ndarray) ->
     return out
 
 
-def scored(docs: DataFrame, base: Unigrams, network: Network) -> DataFrame:
-    """row_key, doc_id, n_tokens, n_head (head tokens known), head_log (their sum), gain."""
-    shared = docs.sparkSession.sparkContext.broadcast((base, network.flat()))
+def encoded(rows: DataFrame, base: Unigrams, learners: int) -> DataFrame:
+    """A saved table of one row for each row: what training, scoring and the rare words need.
+
+    row_key, doc_id, held_out, learner, slot (of 16, for the rounds), n_tokens, n_head (known head
+    tokens), head_log (their sum), symbols (two bytes a token), rare (hashes of the other tokens).
+    """
+    shared = rows.sparkSession.sparkContext.broadcast(base)
+    schema = "row_key long, doc_id long, held_out boolean, learner int, slot int, n_tokens long, n_head long, head_log double, symbols binary, rare binary"
+
+    def run(batches):
+        base = shared.value
+        for batch in batches:
+            for i, j, buf, offs in tx.chunks(batch.column(5)):
+                h, at = tokens(buf, offs)
+                sizes = np.diff(at)
+                rank = base.ranks(h)
+                inside = rank >= 0
+                doc = np.repeat(np.arange(j - i), sizes)
+                known = np.bincount(doc[inside], base.known[rank[inside]], j - i).astype(np.int64)
+                logs = np.bincount(doc[inside], np.log10(base.smoothed[rank[inside]]), j - i)
+                far = np.r_[0, np.cumsum(np.bincount(doc[~inside], minlength=j - i))]
+                columns = [pa.array(sizes, pa.int64()), pa.array(known), pa.array(logs), tx.binaries(base.symbol[rank], at), tx.binaries(h[~inside], far)]
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:5]), *columns], names)
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    learner = F.pmod(F.xxhash64("row_key", F.lit(1)), F.lit(learners)).cast("int").alias("learner")
+    slot = F.pmod(F.xxhash64("row_key", F.lit(2)), F.lit(16)).cast("int").alias("slot")
+    return scratch.saved(rows.select("row_key", "doc_id", "held_out", learner, slot, "text").mapInArrow(run, schema))
+
+
+def scored(rows: DataFrame, base: Unigrams, network: Network) -> DataFrame:
+    """row_key, doc_id, n_tokens, n_head, head_log, gain of encoded rows."""
+    names = ["row_key", "doc_id", "n_tokens", "n_head", "head_log", "gain"]
+    shared = rows.sparkSession.sparkContext.broadcast((base.scores_only(), network.flat()))
 
     def run(batches):
         base, flat = shared.value
         net = Network.unflat(flat)
-        held: list[tuple] = []
+        held: list[pa.RecordBatch] = []
 
         def flush():
-            rank = np.concatenate([r for r, _, _ in held])
-            sizes = np.concatenate([np.diff(a) for _, a, _ in held])
-            at = np.r_[0, np.cumsum(sizes)]
-            ids = pa.concat_arrays([b.column(0) for _, _, b in held]), pa.concat_arrays([b.column(1) for _, _, b in held])
-            inside = rank >= 0
-            doc = np.repeat(np.arange(len(sizes)), sizes)
-            known = np.bincount(doc[inside], base.known[rank[inside]], len(sizes)).astype(np.int64)
-            logs = np.bincount(doc[inside], np.log10(base.smoothed[rank[inside]]), len(sizes))
-            return pa.RecordBatch.from_arrays([*ids, pa.array(sizes, pa.int64()), pa.array(known), pa.array(logs), pa.array(gains(net, base, rank, at))], ["row_key", "doc_id", "n_tokens", "n_head", "head_log", "gain"])
+            table = pa.Table.from_batches(held).combine_chunks()
+            data = table.column(5).chunk(0)
+            buf, offs = tx.text_column(data)
+            gain = gains(net, base, np.frombuffer(buf.tobytes(), "<u2"), offs // 2)
+            return pa.RecordBatch.from_arrays([*(table.column(k).chunk(0) for k in range(5)), pa.array(gain)], names)
 
         n = 0
         for batch in batches:
-            for i, j, buf, offs in tx.chunks(batch.column(2)):
-                h, at = tokens(buf, offs)
-                held.append((base.ranks(h), at, batch.slice(i, j - i)))
-                n += len(h)
+            for i, j, buf, _ in tx.chunks(batch.column(5)):
+                held.append(batch.slice(i, j - i))
+                n += len(buf) // 2
                 if n >= FLUSH_TOKENS:
                     yield flush()
                     held.clear()
@@ -525,15 +580,14 @@ def scored(docs: DataFrame, base: Unigrams, network: Network) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("row_key", "doc_id", "text").mapInArrow(run, "row_key long, doc_id long, n_tokens long, n_head long, head_log double, gain double")
+    return rows.select(*names[:-1], "symbols").mapInArrow(run, "row_key long, doc_id long, n_tokens long, n_head long, head_log double, gain double")
 
 
-def rare(docs: DataFrame, table: DataFrame, base: Unigrams, parts: int) -> DataFrame:
-    """row_key, rare_log, n_rare: sum of log10(c + 0.5) and known tokens outside the head."""
-    shared = docs.sparkSession.sparkContext.broadcast(base)
+def rare(rows: DataFrame, table: DataFrame, parts: int) -> DataFrame:
+    """row_key, rare_log, n_rare: sum of log10(c + 0.5) and known tokens outside the head, of encoded rows."""
 
     def ask(batches):
-        base, held, n = shared.value, [], 0
+        held, n = [], 0
 
         def flush():
             h, key = (np.concatenate(x) for x in zip(*held))
@@ -552,12 +606,9 @@ def rare(docs: DataFrame, table: DataFrame, base: Unigrams, parts: int) -> DataF
         for batch in batches:
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             for i, j, buf, offs in tx.chunks(batch.column(1)):
-                h, at = tokens(buf, offs)
-                row = np.repeat(np.arange(j - i), np.diff(at))
-                out = base.ranks(h) < 0
-                held.append((h[out], keys[i:j][row[out]]))
-                n += len(h)
-                if n >= FLUSH_TOKENS:
+                held.append((np.frombuffer(buf.tobytes(), "<u8"), np.repeat(keys[i:j], np.diff(offs) // 8)))
+                n += len(held[-1][0])
+                if n >= FLUSH_TOKENS // 4:
                     yield flush()
                     held, n = [], 0
         if n and held:
@@ -601,7 +652,7 @@ def rare(docs: DataFrame, table: DataFrame, base: Unigrams, parts: int) -> DataF
             if len(start):
                 yield pa.RecordBatch.from_arrays([pa.array(key[order][start]), pa.array(np.add.reduceat(logs.view(float)[order], start)), pa.array(np.add.reduceat(n[order], start))], ["row_key", "rare_log", "n_rare"])
 
-    asked = docs.select("row_key", "text").mapInArrow(ask, routing.SCHEMA)
+    asked = rows.select("row_key", "rare").mapInArrow(ask, routing.SCHEMA)
     both = asked.union(table.select("part", "kind", "data"))
     answers = routing.exchange(both, parts).mapInArrow(answer, routing.SCHEMA)
     return routing.exchange(answers, parts).mapInArrow(total, "row_key long, rare_log double, n_rare long")
@@ -618,15 +669,19 @@ def score_documents(docs: DataFrame, held_out: Column | None = None, id_col: str
     sums = table.agg(F.sum("total"), F.sum("distinct")).first()
     total, distinct = (int(x or 0) for x in sums)
     base = Unigrams(*head(table), total, distinct)
-    network = Network.start(base)
-    for k in range(ROUNDS):
-        # the parts of the rounds make up all documents
-        network = train(training.where(F.pmod("row_key", F.lit(ROUNDS)) == k), base, network, 0.02 / (1 + k))
+    learners = max(1, -(-total // LEARNER_TOKENS))
+    coded = encoded(rows, base, learners)
+    network, begin = Network.start(base), 0
+    for share, rate in zip(SHARES, RATES):
+        # the slots of the rounds make up all documents
+        own = ~F.col("held_out") & (F.col("slot") >= begin) & (F.col("slot") < begin + share)
+        network = train(coded.where(own), learners, network, rate)
+        begin += share
     norm = float(np.log10(base.norm))
     # equal rows have asked together: each gets its share of the answer
-    equal = rows.groupBy("row_key").agg(F.count("*").alias("equal")).where("equal > 1")
-    asked = rare(rows, table, base, parts).join(equal, "row_key", "left").withColumn("equal", F.coalesce("equal", F.lit(1)))
-    got = scored(rows, base, network).join(asked, "row_key", "left")
+    equal = coded.groupBy("row_key").agg(F.count("*").alias("equal")).where("equal > 1")
+    asked = rare(coded, table, parts).join(equal, "row_key", "left").withColumn("equal", F.coalesce("equal", F.lit(1)))
+    got = scored(coded, base, network).join(asked, "row_key", "left")
     logs = F.col("head_log") + F.coalesce(F.col("rare_log") / F.col("equal"), F.lit(0.0)) - F.col("n_tokens") * F.lit(norm)
     known = (F.col("n_head") + F.coalesce((F.col("n_rare") / F.col("equal")).cast("long"), F.lit(0))).cast("long")
     held = fitting.held_out(F.col("doc_id"), MODULUS)

@@ -74,6 +74,12 @@ def chunks(column: pa.Array, budget: int = CHUNK_BYTES):
         i = j
 
 
+def binaries(values: np.ndarray, at: np.ndarray) -> pa.Array:
+    """Binary values of the bytes of values[at[i]:at[i + 1]]."""
+    wide = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer((np.asarray(at, np.int64) * values.itemsize).tobytes()), pa.py_buffer(np.ascontiguousarray(values).tobytes())])
+    return wide.cast(pa.binary())
+
+
 def lowered(buf: np.ndarray) -> np.ndarray:
     """A-Z to a-z, every other byte as it is."""
     return _LOWER[buf]
