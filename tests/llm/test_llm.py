@@ -300,25 +300,37 @@ def cloud():
     return out + bad
 
 
-def test_embedding_links(spark, cloud):
-    got = Counter(map(tuple, graphdedup.near_duplicates(vectors_of(spark, cloud)).collect()))
-    ok = [(k, r) for k, r in enumerate(cloud) if r[1] is not None and r[2] is not None and len(r[1]) == 16 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
-    x = np.array([r[1] for _, r in ok], float)
-    x /= np.sqrt((x * x).sum(axis=1))[:, None]
-    lab = np.array([r[2] for _, r in ok])
-    near = (x @ x.T >= 0.98) & (lab[:, None] == lab)
+def embedding_links(rows, least=0.98):
+    """Brute force: (vec_id, n_links, component_id, kept) of all rows."""
+    ok = [(k, r) for k, r in enumerate(rows) if r[0] is not None and r[1] is not None and r[2] is not None and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])]
+
+    def linked(i, j):
+        x, y = (np.array(ok[k][1][1], float) for k in (i, j))
+        return ok[i][1][2] == ok[j][1][2] and len(x) == len(y) and (x @ y) / np.sqrt((x @ x) * (y @ y)) >= least
+
+    near = np.array([[linked(i, j) for j in range(len(ok))] for i in range(len(ok))]).reshape(len(ok), len(ok))
     comp = brute_components(range(len(ok)), lambda i, j: near[i, j])
-    least = {}
+    least_id = {}
     for (_, r), c in zip(ok, comp):
-        least[c] = min(least.get(c, r[0]), r[0])
-    links = near.sum(axis=1) - 1
-    own = {k: (int(links[i]), least[comp[i]]) for i, (k, _) in enumerate(ok)}
+        least_id[c] = min(least_id.get(c, r[0]), r[0])
+    own = {k: (int(near[i].sum()) - 1, least_id[comp[i]]) for i, (k, _) in enumerate(ok)}
     want = Counter()
-    for k, r in enumerate(cloud):
+    for k, r in enumerate(rows):
         n, c = own.get(k, (0, r[0]))
-        want[r[0], n, c, c == r[0]] += 1
-    assert got == want
-    assert max(links) > 20
+        want[r[0], n, c, r[0] is not None and c == r[0]] += 1
+    return want
+
+
+@pytest.mark.parametrize("cell, block, beams", [(2048, 4096, (8,)), (32, 20, (8, None)), (300, 16, (None,))])
+def test_embedding_links(spark, cloud, monkeypatch, cell, block, beams):
+    """One block; small cells with hot ones in several blocks; full scans of blocks."""
+    for name, value in (("CELL_ROWS", cell), ("BLOCK_ROWS", block), ("BEAMS", beams)):
+        monkeypatch.setattr(graphdedup, name, value)
+    other = [(500 + i, [float(v) for v in np.array([1.0, i % 3, 0.01 * i]).astype("f4")], 0) for i in range(12)]
+    rows = cloud + other + [(None, cloud[0][1], 0)]
+    want = embedding_links(rows)
+    assert Counter(map(tuple, graphdedup.near_duplicates(vectors_of(spark, rows)).collect())) == want
+    assert max(n for _, n, _, _ in want) > 20 and sum(n > 0 for i, n, _, _ in want if i and i >= 500) > 5
 
 
 def test_nearest_neighbours(spark, cloud):
@@ -342,6 +354,8 @@ def test_nearest_neighbours(spark, cloud):
 
 
 def test_empty_embeddings(spark):
+    assert graphdedup.near_duplicates(vectors_of(spark, [])).count() == 0
+    assert ann.search(vectors_of(spark, [])).count() == 0
     assert graphdedup.near_duplicates(vectors_of(spark, [(1, None, 0)])).count() == 1
     assert ann.search(vectors_of(spark, [(20, None, 0)])).count() == 0
 

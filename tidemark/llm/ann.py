@@ -87,10 +87,9 @@ def centroids(rows: DataFrame, size: int) -> Centroids:
     levels = vectors.tree(x, 4, want)
     points = levels[-1]
     entry = int(np.argmin(((points - points.mean(axis=0)) ** 2).sum(axis=1)))
-    lists = vectors.connected(points, vectors.robust_pruned(points, 24), entry)
-    graph = np.full((len(points), max(map(len, lists))), -1, np.int32) if len(points) > 1 else np.full((1, 1), -1, np.int32)
-    for i, own in enumerate(lists):
-        graph[i, : len(own)] = own
+    near = vectors.robust_pruned(points, 24)
+    a, k = np.nonzero(near >= 0)
+    graph = vectors.reached(points, vectors.linked(points, a, near[a, k].astype(np.int64), 64), np.array([entry]))
     return Centroids(points, graph, entry, longest)
 
 
