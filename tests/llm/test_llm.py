@@ -333,24 +333,43 @@ def test_embedding_links(spark, cloud, monkeypatch, cell, block, beams):
     assert max(n for _, n, _, _ in want) > 20 and sum(n > 0 for i, n, _, _ in want if i and i >= 500) > 5
 
 
+def nearest_rows(rows, k=20, every=20):
+    """Brute force: query_id -> [(score, vec_id)] of the nearest, ties to the smaller id."""
+    ok = {(r[0], tuple(r[1])) for r in rows if r[0] is not None and r[1] is not None and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])}
+    return {q: sorted((-float((np.array(x) * np.array(y)).sum()), v) for v, y in ok if v != q and len(y) == len(x))[:k] for q, x in ok if q % every == 0}
+
+
 def test_nearest_neighbours(spark, cloud):
-    got = ann.search(vectors_of(spark, cloud)).toPandas()
-    ok = {r[0]: np.array(r[1], float) for r in cloud if r[1] is not None and len(r[1]) == 16 and None not in r[1] and np.isfinite(r[1]).all() and any(r[1])}
-    ids = np.array(sorted(ok))
-    x = np.array([ok[i] for i in ids])
-    hit = total = 0
+    other = [(500 + i, [1.0 + i, 2.0, 0.5 * i], 0) for i in range(30)] + [(None, [1.0, 2.0, 3.0], 0)]
+    got = ann.search(vectors_of(spark, cloud + other)).toPandas()
+    want = nearest_rows([(i, [float(np.float32(c)) if c is not None else None for c in v] if v is not None else None, lab) for i, v, lab in cloud + other])
+    hit = 0
     for q, g in got.groupby("query_id"):
         g = g.sort_values("rank")
-        s = (x * ok[q]).sum(axis=1)
-        s[ids == q] = -np.inf
-        best = np.lexsort((ids, -s))[:20]
-        assert list(g["rank"]) == list(range(1, 21))
-        assert all(abs(dict(zip(ids, s))[v] - sc) < 1e-12 for v, sc in zip(g.vec_id, g.score))
+        assert list(g["rank"]) == list(range(1, len(want[q]) + 1))
         assert [(-a, b) for a, b in zip(g.score, g.vec_id)] == sorted((-a, b) for a, b in zip(g.score, g.vec_id))
-        hit += len(set(g.vec_id) & set(ids[best]))
-        total += 20
-    assert set(got.query_id) == {i for i in ok if i % 20 == 0}
-    assert hit / total >= 0.9
+        hit += len({v for _, v in want[q]} & set(g.vec_id))
+        scores = {v: -s for s, v in want[q]}
+        assert all(abs(scores[v] - s) < 1e-12 for v, s in zip(g.vec_id, g.score) if v in scores)
+    assert set(got.query_id) == set(want)
+    assert hit / sum(map(len, want.values())) >= 0.9
+
+
+def test_a_vector_in_thousands_of_copies(spark, monkeypatch):
+    """Ties go to the smaller ids, and the copies do not crowd out the sample of the centroids."""
+    monkeypatch.setattr(ann, "SAMPLE_ROWS", 60)
+    monkeypatch.setattr(ann, "LIST_ROWS", 16)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(400, 8)).astype("f4")
+    rows = [(i, [float(v) for v in (x[0] if i < 3000 else x[i - 2999])], 0) for i in range(3399)]
+    models, build = [], ann.centroids
+    monkeypatch.setattr(ann, "centroids", lambda *a: models.append(build(*a)) or models[-1])
+    got = ann.search(vectors_of(spark, rows), every=200).toPandas()
+    assert len(np.unique(models[0].points, axis=0)) == len(models[0].points) > 4
+    want = nearest_rows(rows, every=200)
+    assert (got.groupby("query_id").size() == 20).all() and set(got.query_id) == set(want)
+    hit = sum(len({v for _, v in want[q]} & set(g.vec_id)) for q, g in got.groupby("query_id"))
+    assert hit / (20 * len(want)) >= 0.9
 
 
 def test_empty_embeddings(spark):

@@ -8,15 +8,17 @@ distance, unless one already taken is nearer to the centroid than the vector.
 A query reads the lists whose centroids are at most ``ratio`` times as far as
 its nearest one.  The ratio is measured: the least that finds ``AIM`` of the
 true neighbours of a bounded set of audit queries, compared with brute force.
+Where those lists are too short to hold k other vectors for sure, the next
+nearest lists are read too.
 
 Inner product becomes distance with one more component, which gives all vectors
 the length of the longest.  Lists are read in parts of at most about
 ``PART_ROWS`` rows, so a hot list is many tasks' work.  Of equal vectors only
 the ``k + 1`` of least id can be among the nearest, so only those are listed.
 
-Defined results: null, zero or not finite vectors, those of a null id and those
-that have not the commonest dimension take no part; of rows equal in id and
-vector one counts; ties go to the smaller id; a query's own id is no candidate.
+Defined results: null, zero or not finite vectors and those of a null id take no
+part; the candidates of a query are the vectors of its dimension; of rows equal
+in id and vector one counts; ties go to the smaller id; a query's own id is no candidate.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.llm import scratch, vectors
@@ -77,9 +80,12 @@ class Centroids:
 
 
 def centroids(rows: DataFrame, size: int) -> Centroids:
-    """From at most SAMPLE_ROWS distinct vectors, those of least hash."""
+    """From at most SAMPLE_ROWS distinct vectors, those of least hash.
+
+    rows: vec_id, vector, and first, which holds for one row of each distinct vector.
+    """
     stats = rows.agg(F.count("*").alias("n"), F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)).alias("longest")).first()
-    sample = rows.orderBy(F.xxhash64("vector"), "vec_id").limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks()
+    sample = rows.where("first").orderBy(F.xxhash64("vector"), "vec_id").limit(SAMPLE_ROWS).select("vector").toArrow()["vector"].combine_chunks()
     x = vectors.matrix(sample, size)
     longest = float(np.sqrt(stats.longest or 0))
     x = np.column_stack([x, np.sqrt(np.maximum(longest**2 - (x * x).sum(axis=1), 0))])
@@ -205,12 +211,28 @@ def _needed_ratio(truth, lists, queries, model: Centroids, aim: float) -> float:
 
 
 def search(embeddings: DataFrame, every: int = 20, k: int = K, aim: float = AIM, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by ``every``."""
-    spark = embeddings.sparkSession
+    """query_id, rank, vec_id, score: the k nearest of each row whose id is divisible by ``every``.
+
+    Every dimension that occurs is a pass of its own.
+    """
     rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
-    rows = rows.where(F.col("vec_id").isNotNull() & vectors.usable(F.col("vector")))
-    size = vectors.common_size(rows)
-    rows = scratch.saved(rows.where(F.size("vector") == size).distinct())
+    rows = scratch.saved(rows.where(F.col("vec_id").isNotNull() & vectors.usable(F.col("vector"))).distinct())
+    sizes = [r.n for r in rows.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()]
+    found = None
+    for size in sizes:
+        own = _nearest(rows.where(F.size("vector") == size) if len(sizes) > 1 else rows, size, every, k, aim)
+        found = own if found is None else found.union(own)
+    if found is None:
+        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    if len(sizes) > 1:  # an id may have vectors of several dimensions
+        best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    return found
+
+
+def _nearest(rows: DataFrame, size: int, every: int, k: int, aim: float) -> DataFrame:
+    """The search among distinct rows of one dimension."""
+    spark = rows.sparkSession
     queries = rows.where(F.col("vec_id") % every == 0)
     # the k + 1 least ids of each distinct vector
     same = rows.groupBy(F.xxhash64("vector").alias("h"), "vector").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"))
@@ -220,8 +242,9 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, aim: float = AIM,
     # two steps, so that a hot vector's ids meet in a bounded array only
     salted = copies.groupBy("vector", F.pmod(F.xxhash64("vec_id"), F.lit(64)).alias("salt")).agg(F.slice(F.array_sort(F.collect_set("vec_id")), 1, k + 1).alias("ids"))
     listed = salted.groupBy("vector").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
-    listed = alone.select("vec_id", "vector").union(listed.select(F.explode("ids").alias("vec_id"), "vector"))
-    model = centroids(rows, size)
+    listed = alone.select("vec_id", "vector", F.lit(True).alias("first")).union(listed.select(F.posexplode("ids").alias("place", "vec_id"), "vector").select("vec_id", "vector", F.col("place") == 0))
+    listed = scratch.saved(listed)
+    model = centroids(listed, size)
     shared = spark.sparkContext.broadcast(model)
 
     def post(batches):
@@ -233,16 +256,25 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, aim: float = AIM,
             data = [v.tobytes() for v in x]
             yield pa.RecordBatch.from_arrays([pa.array(c), batch.column(0).take(pa.array(r)), pa.array([data[i] for i in r.tolist()], pa.binary())], ["list", "vec_id", "vector"])
 
-    lists = scratch.saved(listed.mapInArrow(post, "list long, vec_id long, vector binary"))
+    lists = scratch.saved(listed.select("vec_id", "vector").mapInArrow(post, "list long, vec_id long, vector binary"))
     audit = queries.orderBy(F.xxhash64("vec_id")).limit(AUDIT_QUERIES)
     truth = brute_force(audit, rows, size, k).toPandas()
     wanted = spark.createDataFrame([(int(v),) for v in truth["vec_id"].unique()], "vec_id long")
     held = lists.select("list", "vec_id").join(F.broadcast(wanted), "vec_id").toPandas()
     got = audit.toArrow()
+    parts = lists.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"), F.count("*").alias("n"))
+    sizes = np.zeros(len(model.points), np.int64)
+    for r in parts.collect():
+        sizes[r.list] = r.n
+    held_by = spark.sparkContext.broadcast(sizes)
+    parts = parts.drop("n")
     ratio = _needed_ratio(truth, held, (got["vec_id"].to_numpy(), vectors.matrix(got["vector"].combine_chunks(), size)), model, aim)
 
+    # a vector is in at most REPLICAS lists, so that many entries hold k others and the query for sure
+    enough = REPLICAS * (k + 1)
+
     def probe(batches):
-        m = shared.value
+        m, sizes = shared.value, held_by.value
         for batch in batches:
             x = vectors.matrix(batch.column(1), size)
             if not len(x):
@@ -250,15 +282,16 @@ def search(embeddings: DataFrame, every: int = 20, k: int = K, aim: float = AIM,
             width = 64
             while True:  # a wider beam till the lists found reach beyond the ratio
                 nodes, dist = m.near(m.lift(x, True), width)
-                if width >= len(m.points) or (dist[:, -1] > ratio * dist[:, 0]).all():
+                entries = np.cumsum(np.where(nodes >= 0, sizes[nodes], 0), axis=1)
+                if width >= len(m.points) or ((dist[:, -1] > ratio * dist[:, 0]) & (entries[:, -1] >= enough)).all():
                     break
                 width *= 2
-            r, c = np.nonzero(np.isfinite(dist) & (dist <= ratio * dist[:, :1]))
+            before = np.column_stack([np.zeros(len(x), np.int64), entries[:, :-1]])
+            r, c = np.nonzero(np.isfinite(dist) & ((dist <= ratio * dist[:, :1]) | (before < enough)))
             data = [v.tobytes() for v in x]
             yield pa.RecordBatch.from_arrays([pa.array(nodes[r, c]), batch.column(0).take(pa.array(r)), pa.array([data[i] for i in r.tolist()], pa.binary())], ["list", "vec_id", "vector"])
 
     probes = queries.mapInArrow(probe, "list long, vec_id long, vector binary")
-    parts = lists.groupBy("list").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
     vec = lists.join(F.broadcast(parts), "list").select("list", F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "vec_id", "vector")
     ask = probes.join(F.broadcast(parts), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("kind"), "vec_id", "vector")
     both = vec.union(ask).repartition("list", "part").sortWithinPartitions("list", "part", "kind")
