@@ -499,7 +499,7 @@ def _small_base():
 def test_outputs_sum_to_one():
     base = _small_base()
     net = lm.Network.start(base)
-    s = np.random.default_rng(1).normal(size=(3, lm.HIDDEN)).astype(np.float32)
+    s = np.random.default_rng(1).normal(size=(lm.HIDDEN, 3)).astype(np.float32)
     total = np.zeros(3)
     for g in range(lm.OUTPUTS):
         for w in range(lm.CLASS_SIZE if g < lm.CLASSES else 1):
@@ -523,11 +523,11 @@ def test_gradient_of_the_network():
     rng = np.random.default_rng(4)
     y = rng.integers(0, 80, (8, 2))
     x, group = np.r_[[[0, 0]], y[:-1]], y // lm.CLASS_SIZE
-    reset, h = np.zeros((8, 2), bool), np.zeros((2, lm.HIDDEN), np.float32)
+    reset, h = np.zeros((8, 2), bool), np.zeros((lm.HIDDEN, 2), np.float32)
 
     def loss():
         states, _, _ = net.run(x, reset, h)
-        return -net.outputs(states.reshape(-1, lm.HIDDEN), group.ravel(), (y % lm.CLASS_SIZE).ravel())[0].sum()
+        return -net.outputs(states.reshape(lm.HIDDEN, -1), group.ravel(), (y % lm.CLASS_SIZE).ravel())[0].sum()
 
     seen = {}
     net._adam = lambda grads, n, rate: seen.update(grads)

@@ -49,7 +49,7 @@ CLASSES = WORDS // CLASS_SIZE
 BANDS = (WORDS, 4096, 16_384, HEAD)
 OUTPUTS = CLASSES + len(BANDS)  # word classes, bands of the head, the rest
 START = WORDS + len(BANDS)
-HIDDEN = 32
+HIDDEN = 24
 MIX = 0.95
 WINDOW = 16
 #: Training tokens of a learner in all rounds; each round's share of the documents in 16ths and its rate.
@@ -234,40 +234,44 @@ class Network:
         return cls(p)
 
     def run(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray, keep: bool = False):
-        """States [steps, lanes, HIDDEN] of inputs x, from state h; with what backpropagation needs."""
-        u, e = self.p["recur"], self.p["embed"]
+        """States [HIDDEN, steps, lanes] of inputs x, from state h [HIDDEN, lanes]; with what backpropagation needs.
+
+        Lanes run along memory, so that gates are whole blocks of it.
+        """
+        u = np.ascontiguousarray(self.p["recur"].T)
         steps, lanes = x.shape
-        states = np.empty((steps, lanes, HIDDEN), np.float32)
+        a = np.ascontiguousarray(self.p["embed"][x.ravel()].T).reshape(3 * HIDDEN, steps, lanes)
+        states = np.empty((HIDDEN, steps, lanes), np.float32)
+        some = reset.any(axis=1)
         saved = []
         for t in range(steps):
-            if reset[t].any():
-                h = np.where(reset[t][:, None], np.float32(0), h)
-            a, b = e[x[t]], h @ u
-            zr = _sigmoid(a[:, : 2 * HIDDEN] + b[:, : 2 * HIDDEN])
-            z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-            c = b[:, 2 * HIDDEN :]
+            if some[t]:
+                h = np.where(reset[t], np.float32(0), h)
+            b = u @ h
+            zr = b[: 2 * HIDDEN] + a[: 2 * HIDDEN, t]
+            _sigmoid(zr)
+            z, r, c = zr[:HIDDEN], zr[HIDDEN:], b[2 * HIDDEN :]
             n = r * c
-            n += a[:, 2 * HIDDEN :]
+            n += a[2 * HIDDEN :, t]
             np.tanh(n, out=n)
             new = h - n
             new *= z
             new += n
             if keep:
                 saved.append((h, z, r, c, n))
-            states[t] = h = new
+            states[:, t] = h = new
         return states, h, saved
 
-    def outputs(self, s: np.ndarray, group: np.ndarray, word: np.ndarray, grads: dict | None = None):
+    def outputs(self, columns: np.ndarray, group: np.ndarray, word: np.ndarray, grads: dict | None = None):
         """Natural log probabilities of the class and of the word in it; word is -1 outside word classes.
 
-        With ``grads``, adds to it and returns also the gradient of the states.
+        columns: [HIDDEN, n], a state each, so that sums over the outputs run
+        along memory.  With ``grads``, adds to it and returns also the gradient of the states.
         """
-        # one column for each state: sums over the outputs run along memory
-        columns = np.ascontiguousarray(s.T)
         logit = self.p["out"].T @ columns
         logit += self.p["out_bias"][:, None]
         logit -= logit.max(axis=0)
-        line = np.arange(len(s))
+        line = np.arange(columns.shape[1])
         logp = logit[group, line]
         exp = np.exp(logit, out=logit)
         total = exp.sum(axis=0)
@@ -278,10 +282,10 @@ class Network:
             exp[group, line] -= 1
             grads["out"] += columns @ exp.T
             grads["out_bias"] += exp.sum(axis=1)
-            ds = (self.p["out"] @ exp).T
+            ds = self.p["out"] @ exp
         order = np.argsort(group.astype(np.uint8), kind="stable")
         cut = np.searchsorted(group[order], np.arange(CLASSES + 1))
-        columns, inside = columns[:, order[: cut[-1]]], np.zeros((HIDDEN, cut[-1]), np.float32)
+        columns, inside = columns[:, order[: cut[-1]]], np.empty((HIDDEN, cut[-1]), np.float32)
         for k in range(CLASSES):
             a, b = cut[k], cut[k + 1]
             if a == b:
@@ -302,7 +306,7 @@ class Network:
                 grads["word_bias"][k] += exp.sum(axis=1)
                 inside[:, a:b] = self.p["word"][k] @ exp
         if grads is not None:
-            ds[order[: cut[-1]]] += inside.T
+            ds[:, order[: cut[-1]]] += inside
         return logp, ds
 
     def learn(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray, group: np.ndarray, word: np.ndarray, rate: float, real: np.ndarray | None = None) -> np.ndarray:
@@ -311,38 +315,47 @@ class Network:
         Places that are not ``real`` pad the ends of lanes and have no loss.
         """
         steps, lanes = x.shape
-        real = np.ones(x.shape, bool) if real is None else real
         states, last, saved = self.run(x, reset, h, keep=True)
         grads = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
-        ds = np.zeros((steps, lanes, HIDDEN), np.float32)
-        _, ds[real] = self.outputs(states[real], group[real], word[real], grads)
+        states = states.reshape(HIDDEN, -1)
+        if real is None or real.all():
+            count, ds = x.size, self.outputs(states, group.ravel(), word.ravel(), grads)[1]
+        else:
+            flat = np.flatnonzero(real)
+            count, ds = len(flat), np.zeros((HIDDEN, x.size), np.float32)
+            ds[:, flat] = self.outputs(states[:, flat], group.ravel()[flat], word.ravel()[flat], grads)[1]
+        ds = ds.reshape(HIDDEN, steps, lanes)
         u = self.p["recur"]
-        carry = np.zeros((lanes, HIDDEN), np.float32)
-        dx, back = (np.empty((steps, lanes, 3 * HIDDEN), np.float32) for _ in range(2))
+        carry = np.zeros((HIDDEN, lanes), np.float32)
+        dx, back = (np.empty((3 * HIDDEN, steps, lanes), np.float32) for _ in range(2))
+        some = reset.any(axis=1)
         for t in range(steps - 1, -1, -1):
             before, z, r, c, n = saved[t]
-            d = ds[t]
-            d += carry
+            d = ds[:, t] + carry
             dz = before - n
             dz *= d
             dz *= z
             carry = d * z
-            dn = d - carry
+            d -= carry
             dz -= dz * z
-            dn -= dn * n * n
-            through = dn * r
-            dr = through * c
-            dr -= dr * r
-            dx[t, :, :HIDDEN], dx[t, :, HIDDEN : 2 * HIDDEN], dx[t, :, 2 * HIDDEN :] = dz, dr, dn
-            back[t, :, : 2 * HIDDEN], back[t, :, 2 * HIDDEN :] = dx[t, :, : 2 * HIDDEN], through
-            carry += back[t] @ u.T
-            if reset[t].any():
-                carry[reset[t]] = 0
-        grads["recur"] += np.concatenate([v[0] for v in saved]).T @ back.reshape(-1, 3 * HIDDEN)
+            n *= n
+            np.subtract(1, n, out=n)
+            d *= n
+            through = d * r
+            c *= through
+            r *= c
+            c -= r
+            own = np.concatenate([dz, c, through])
+            dx[: 2 * HIDDEN, t], dx[2 * HIDDEN :, t], back[:, t] = own[: 2 * HIDDEN], d, own
+            carry += u @ own
+            if some[t]:
+                carry *= ~reset[t]
+        grads["recur"] += np.concatenate([v[0] for v in saved], axis=1) @ back.reshape(3 * HIDDEN, -1).T
+        dx = np.ascontiguousarray(dx.reshape(3 * HIDDEN, -1).T)
         order = np.argsort(x.ravel().astype(np.uint16), kind="stable")
         start, _ = tx.runs(x.ravel()[order])
-        grads["embed"][x.ravel()[order][start]] = np.add.reduceat(dx.reshape(-1, 3 * HIDDEN)[order], start, axis=0)
-        self._adam(grads, int(real.sum()), rate)
+        grads["embed"][x.ravel()[order][start]] = np.add.reduceat(dx[order], start, axis=0)
+        self._adam(grads, count, rate)
         return last
 
     def _adam(self, grads: dict, n: int, rate: float) -> None:
@@ -370,7 +383,7 @@ class Lanes:
         self.net, self.rate, self.done = net, rate, 0
         self.held: list[list[np.ndarray]] = [[] for _ in range(TRAIN_LANES)]
         self.size = np.zeros(TRAIN_LANES, np.int64)
-        self.state = np.zeros((TRAIN_LANES, HIDDEN), np.float32)
+        self.state = np.zeros((HIDDEN, TRAIN_LANES), np.float32)
 
     def add(self, symbols: np.ndarray, at: np.ndarray) -> None:
         """Symbols of documents that begin at ``at``; longest first to the shortest lane."""
@@ -406,7 +419,7 @@ class Lanes:
         flat = np.concatenate([v for k in order for v in self.held[k]])
         x, y, first = flat[:, 0], flat[:, 1], flat[:, 2].astype(bool)
         group, word = _targets(y)
-        h = self.state[order]
+        h = self.state[:, order]
         for t in range(0, stop, WINDOW):
             live = int(np.searchsorted(-size, -t, "left"))
             step = (t + np.arange(min(WINDOW, stop - t)))[:, None]
@@ -415,9 +428,9 @@ class Lanes:
             n = int(real.sum())
             # few tokens give a noisy gradient and a smaller step
             rate = self.rate * float(np.sqrt(n / (TRAIN_LANES * WINDOW)))
-            h[:live] = self.net.learn(np.where(real, x[place], START), first[place] & real, h[:live], group[place], word[place], rate, real)
+            h[:, :live] = self.net.learn(np.where(real, x[place], START), first[place] & real, h[:, :live], group[place], word[place], rate, real)
             self.done += n
-        self.state[order] = h
+        self.state[:, order] = h
         for k, a, b in zip(order.tolist(), (offset + np.minimum(size, stop)).tolist(), (offset + size).tolist()):
             self.held[k] = [flat[a:b]] if b > a else []
         self.size[order] = size - np.minimum(size, stop)
@@ -505,7 +518,7 @@ def gains(network: Network, base: Unigrams, symbols: np.ndarray, at: np.ndarray)
     size = np.array([int(lengths[p].sum()) for p in plan])
     offset = np.cumsum(size) - size
     out = np.zeros(len(lengths))
-    h = np.zeros((len(plan), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, len(plan)), np.float32)
     window = 32
     for t in range(0, int(size.max()) if len(size) else 0, window):
         live = int(np.searchsorted(-size, -t, "left"))
@@ -513,9 +526,10 @@ def gains(network: Network, base: Unigrams, symbols: np.ndarray, at: np.ndarray)
         place = offset[:live] + t + np.arange(steps)[:, None]
         real = (t + np.arange(steps)[:, None]) < size[:live]
         place = np.where(real, place, 0)
-        states, h, _ = network.run(x[place], first[place] & real, h[:live])
-        place = place[real]
-        logp, _ = network.outputs(states[real], group[place], word[place])
+        states, h, _ = network.run(x[place], first[place] & real, h[:, :live])
+        flat = np.flatnonzero(real)
+        place = place.ravel()[flat]
+        logp, _ = network.outputs(states.reshape(HIDDEN, -1)[:, flat], group[place], word[place])
         gain = np.logaddexp(np.log(MIX) + logp.astype(float) - log_base[place], np.log(1 - MIX)) / np.log(10)
         out += np.bincount(doc[place], gain, len(lengths))
     return out
