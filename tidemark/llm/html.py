@@ -9,7 +9,7 @@ loses elements whose tag, role or class says that they are not content (menus,
 headers, footers, sidebars, notices, adverts, forms, reader comments, scripts,
 styles); of a page that marks its content with ``article`` or ``main``, that
 part is taken.  Marked content as a whole is never deleted as a template; blocks
-inside it are, if they are on half of the host's pages (a notice, a share box).
+inside it are, if they are on nearly all of the host's pages (a notice, a share box).
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by two newlines in page order.
@@ -36,7 +36,7 @@ from tidemark.llm import scratch
 #: A subtree is a template if it is on so many distinct pages of a host, and on such a share of them.
 LEAST_PAGES, SHARE = 3, 0.25
 #: The same for blocks inside marked content.
-LEAST_INSIDE, SHARE_INSIDE = 10, 0.5
+LEAST_INSIDE, SHARE_INSIDE = 10, 0.8
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
