@@ -1,11 +1,15 @@
 """Semantics of tables, joins, headers and folds on tiny inputs."""
 
+import asyncio
 import datetime as dt
+import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidemark.functions import envelope
+from tidemark.functions import envelope, serde
 from tidemark.operators import aggregates, joins
 from tidemark.operators.stream import Stream
 from tidemark.operators.table import Table
@@ -105,3 +109,71 @@ def test_empty_inputs(spark):
     assert Stream(empty).join(Table(empty)).df.count() == 0
     assert aggregates.count(empty).count() == 0
     assert joins.as_of(empty, empty).count() == 0
+
+
+def test_a_put_wins_whatever_its_offset(spark):
+    t = Table(records(spark, [("a", "first", 9, 9)]))
+    again = t.put(records(spark, [("a", "second", 3, 3)])).put(records(spark, [("b", "x", 1, 1)]))
+    assert values(again.df, "key", "value") == [("a", "second"), ("b", "x")]
+    assert values(again.put(records(spark, [("a", "third", 1, 1)])).get("a"), "value") == [("third",)]
+    assert [r.value for r in again.changelog().where("key = 'a'").orderBy("version").collect()] == ["first", "second"]
+
+
+def test_latest_reads_only_what_is_used(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    records(spark, [("a", "x", 1, 1)]).write.parquet(path)
+    plan = Table(spark.read.parquet(path)).df.select("key", "value")._jdf.queryExecution().executedPlan().toString()
+    schema = plan.split("ReadSchema")[1]
+    assert "headers" not in schema and "timestamp" not in schema and "value" in schema
+
+
+@pytest.mark.parametrize("span", ["7 seconds", "100 days"])
+def test_spans_give_the_same_as_of_join(spark, span):
+    rng = random.Random(4)
+    rows = [(rng.choice("abc") if i % 9 else None, f"v{i}", i, rng.choice([None, *range(0, 60, 3)])) for i in range(150)]
+    left, right = records(spark, rows[:80]), records(spark, rows[80:])
+    for how in ("inner", "left"):
+        one, other = (values(joins.as_of(left, right, how=how, span=s).select("key", F.col("value._1").alias("l"), F.coalesce("value._2", F.lit("")).alias("r")).where("key IS NOT NULL"), "key", "l", "r") for s in (None, span))
+        assert one == other and one
+    hot = {r for r in other}
+    for key, value, _, time in rows[:80]:
+        if key is None:
+            continue
+        seen = [(t or 0, o, v) for k, v, o, t in rows[80:] if k == key and (t or 0) <= (time or 0)]
+        assert (key, value, max(seen)[2] if seen else "") in hot
+
+
+def test_interval_join_by_buckets(spark):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), f"v{i}", i, rng.randrange(500)) for i in range(160)]
+    got = values(joins.interval(records(spark, rows[:80]), records(spark, rows[80:]), "30 seconds", "0 seconds").select(F.col("value._1").alias("l"), F.col("value._2").alias("r")), "l", "r")
+    assert got == sorted((v, w) for k, v, _, t in rows[:80] for q, w, _, u in rows[80:] if k == q and t - 30 <= u <= t)
+
+
+def test_async_map_keeps_order_and_runs_side_by_side(spark):
+    async def slow(record):
+        await asyncio.sleep(0.2)
+        return {"offset": record["offset"], "n": record["value"] + "!"}
+
+    df = records(spark, [("a", f"v{i}", i, 1) for i in range(40)]).select("offset", "value").coalesce(1)
+    began = time.monotonic()
+    assert values(Stream(df).map_async(slow, "offset long, n string", at_once=40).df, "offset", "n") == [(i, f"v{i}!") for i in range(40)]
+    assert time.monotonic() - began < 6
+
+
+def test_values_are_parsed_once(spark):
+    s = serde.Json(T.StructType([T.StructField("k", T.LongType()), T.StructField("name", T.StringType())]), {"name": ("Name2",)})
+    df = Stream(records(spark, [("a", '{"k": 1, "Name2": "x"}', 1, 1)])).decode_value(s).map_value(s.encode).df
+    assert df.first().value == '{"k":1,"name":"x"}'
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1
+    with pytest.raises(Exception, match="missing field k"):
+        Stream(records(spark, [("a", "{}", 1, 1)])).decode_value(s).df.collect()
+
+
+def test_native_bytes(spark):
+    kind = T.MapType(T.StringType(), T.ArrayType(T.DoubleType()))
+    s = serde.NativeBytes(kind)
+    rows = [({"a": [1.5, None]},), (None,), ({},)]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("v", kind)]))
+    assert [r.v for r in df.select(s.decode(s.encode(F.col("v"))).alias("v")).collect()] == [r[0] for r in rows]

@@ -116,5 +116,5 @@ def test_app_runs_queries(spark, store, tmp_path):
 
 
 def test_debug_sink(spark, store):
-    lines = Stream(store.read("in")).filter(lambda k, v: v == "v3").into_debug(TEXT, TEXT)
+    lines = Stream(store.read("in")).filter(lambda k, v: v == "v3").into_debug(TEXT, TEXT, rows=5)
     assert lines == ["k0: v3"]

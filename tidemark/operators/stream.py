@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import asyncio
+from collections.abc import Awaitable, Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import envelope
 from tidemark.functions.serde import Serde
@@ -14,6 +17,16 @@ from tidemark.operators.table import Table
 from tidemark.sources import topics
 
 
+async def _gathered(f, records: list[dict], at_once: int) -> list[dict]:
+    gate = asyncio.Semaphore(at_once)
+
+    async def one(record):
+        async with gate:
+            return await f(record)
+
+    return await asyncio.gather(*(one(r) for r in records))
+
+
 class Stream:
     """Wraps a DataFrame of records.  Callbacks take and return columns, so that
     Catalyst sees through them; ``map_pandas`` is for code that cannot be columns."""
@@ -36,6 +49,21 @@ class Stream:
     def map_headers(self, f: Callable[[Column], Column]) -> Stream:
         return self._with(self.df.withColumn("headers", f(F.col("headers"))))
 
+    def decode_value(self, serde: Serde) -> Stream:
+        """The value read from its wire form.  Parsing is a projection of its own, so it is done once a record."""
+        parsed = self.df.withColumn("value", serde.parse(F.col("value")))
+        return self._with(parsed.withColumn("value", serde.checked(F.col("value"))))
+
+    def map_async(self, f: Callable[[dict], Awaitable[dict]], schema: str, at_once: int = 64) -> Stream:
+        """``f`` is a coroutine from a record to a record of ``schema``; so many of a batch run side by side."""
+
+        def run(frames):
+            for frame in frames:
+                yield pd.DataFrame(asyncio.run(_gathered(f, frame.to_dict("records"), at_once)), columns=names)
+
+        names = T._parse_datatype_string(schema).names
+        return self._with(self.df.mapInPandas(run, schema))
+
     def map_pandas(self, f, schema) -> Stream:
         """``f`` maps an iterator of pandas frames of records to frames of ``schema``."""
         return self._with(self.df.mapInPandas(f, schema))
@@ -79,8 +107,8 @@ class Stream:
     def join_by(self, table: Table, key_of: Callable[[Column], Column], combine: joins.Combiner = joins.pair) -> Stream:
         return self._with(joins.by(self.df, table.df, key_of, combine))
 
-    def join_as_of(self, table: Table, combine: joins.Combiner = joins.pair) -> Stream:
-        return self._with(joins.as_of(self.df, table.records, combine))
+    def join_as_of(self, table: Table, combine: joins.Combiner = joins.pair, span: str | None = None) -> Stream:
+        return self._with(joins.as_of(self.df, table.records, combine, span=span))
 
     def join_interval(self, other: Stream, before: str, after: str, lateness: str = "0 seconds", combine: joins.Combiner = joins.pair) -> Stream:
         return self._with(joins.interval(self.df, other.df, before, after, lateness, combine))
@@ -108,12 +136,15 @@ class Stream:
     def into_topic(self, store: topics.TopicStore, topic: str, key: Serde, value: Serde) -> None:
         store.append(topics.encoded(self.df, key, value), topic)
 
-    def into_debug(self, key: Serde, value: Serde, rows: int = 20) -> list[str]:
-        """The first records as text, printed and returned."""
-        shown = topics.encoded(self.df, key, value).select(F.concat_ws(": ", F.col("key").cast("string"), F.col("value").cast("string")).alias("line")).take(rows)
-        lines = [r.line for r in shown]
-        print("\n".join(lines))
-        return lines
+    def into_debug(self, key: Serde, value: Serde, rows: int | None = None) -> list[str] | None:
+        """Logs every record as text where it is; with ``rows``, prints and returns that many of the first."""
+        lines = topics.lines(self.df, key, value)
+        if rows is None:
+            lines.foreachPartition(topics.log_lines)
+            return None
+        shown = [r.line for r in lines.take(rows)]
+        print("\n".join(shown))
+        return shown
 
     def into_noop(self) -> None:
         self.df.write.format("noop").mode("overwrite").save()

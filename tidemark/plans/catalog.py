@@ -93,7 +93,7 @@ def serde_i64_text(spark, sf_dir):
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def serde_json_decode(spark, sf_dir):
     s = serde.Json(T.StructType([T.StructField("k", T.LongType())]))
-    return _read(spark, sf_dir, "events").select("event_id", s.decode(F.col("props"))["k"].alias("k"))
+    return events(spark, sf_dir, F.col("props")).decode_value(s).df.select(F.col("offset").alias("event_id"), F.col("value.k").alias("k"))
 
 
 @query("SELECT n_nationkey, '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS json FROM nation")
@@ -108,6 +108,13 @@ def serde_json_alias(spark, sf_dir):
     return _read(spark, sf_dir, "events").select("event_id", s.decode(F.col("props"))["key"].alias("key"))
 
 
+@query("SELECT event_id, user_id, value FROM events")
+def serde_native_bytes(spark, sf_dir):
+    s = serde.NativeBytes(T.StructType([T.StructField("user_id", T.LongType()), T.StructField("value", T.DoubleType())]))
+    back = _read(spark, sf_dir, "events").select("event_id", s.decode(s.encode(F.struct("user_id", "value"))).alias("v"))
+    return back.select("event_id", "v.user_id", "v.value")
+
+
 # projections, filters, composition
 
 
@@ -159,12 +166,8 @@ def dead_letter(spark, sf_dir):
 
 @query("SELECT event_id AS \"offset\", CAST(length(event_type) AS BIGINT) AS n FROM events")
 def parallel_map(spark, sf_dir):
-    def lengths(frames):
-        for f in frames:
-            yield f.assign(n=f["kind"].str.len())[["offset", "n"]]
-
-    df = events(spark, sf_dir).parallel(8).df.select("offset", F.col("value.event_type").alias("kind"))
-    return df.mapInPandas(lengths, "offset long, n long")
+    s = events(spark, sf_dir, F.col("event_type")).parallel(8).map_value(lambda v: F.length(v).cast("long"))
+    return s.df.select("offset", F.col("value").alias("n"))
 
 
 # tables and state
@@ -195,10 +198,18 @@ def store_delete(spark, sf_dir):
 @query("SELECT user_id AS \"key\", arg_max(CASE WHEN event_type = 'purchase' THEN value + 1000 ELSE value END, CASE WHEN event_type = 'purchase' THEN event_id + 1000000000 ELSE event_id END) AS value FROM events GROUP BY user_id")
 def store_put_range(spark, sf_dir):
     base = events(spark, sf_dir, F.col("value")).into_table("t")
-    late = events(spark, sf_dir).filter(_of_type("purchase")).map_value(lambda v: v["value"] + 1000).df.withColumn("offset", F.col("offset") + 1000000000)
+    late = events(spark, sf_dir).filter(_of_type("purchase")).map_value(lambda v: v["value"] + 1000).df
     return base.put_range(late).df.select("key", "value")
 
 
+@query("SELECT user_id AS \"key\", CASE WHEN user_id = 8 THEN -1.0 ELSE arg_max(value, event_id) END AS value FROM events GROUP BY user_id")
+def store_put(spark, sf_dir):
+    """A put wins over all that is there, though its offset is the least."""
+    base = events(spark, sf_dir, F.col("value")).into_table("t")
+    one = events(spark, sf_dir, F.lit(-1.0)).filter(lambda k, v: k == 8).df.withColumn("offset", F.lit(-1).cast("long")).limit(1)
+    return base.put(one).df.select("key", "value")
+
+
 @query("SELECT CAST(0 AS BIGINT) AS n")
 def store_clear(spark, sf_dir):
     return events(spark, sf_dir).into_table("t").clear().df.agg(F.count("*").alias("n"))
@@ -253,6 +264,14 @@ def join_gated(spark, sf_dir):
     return joins.as_of(left.df, purchases.df).select("offset", "key", F.col("value._1").alias("left_value"), F.col("value._2").alias("right_value"))
 
 
+@query(_AS_OF)
+def join_gated_spans(spark, sf_dir):
+    """The same with each key's time line cut into spans, for hot keys."""
+    purchases = events(spark, sf_dir).filter(_of_type("purchase")).map_value(lambda v: v["value"])
+    left = events(spark, sf_dir).filter(_of_type("error")).map_value(lambda v: v["value"])
+    return joins.as_of(left.df, purchases.df, span="1 day").select("offset", "key", F.col("value._1").alias("left_value"), F.col("value._2").alias("right_value"))
+
+
 @query(_AS_OF.replace("SELECT l.event_id AS \"offset\", l.user_id AS \"key\", l.value AS left_value, r.value AS right_value", "SELECT l.event_id AS \"offset\", r.event_id AS version_offset"))
 def versioned_get(spark, sf_dir):
     purchases = events(spark, sf_dir).filter(_of_type("purchase")).map_value(lambda v: v["event_id"]).into_table("p")
@@ -341,4 +360,4 @@ def window_session(spark, sf_dir):
 def pass_through(spark, sf_dir):
     """Decode and encode, as the throughput benchmark does."""
     s = serde.Json(T.StructType([T.StructField("k", T.LongType())]))
-    return events(spark, sf_dir, F.col("props")).map_value(s.decode).map_value(s.encode).df.select("offset", F.col("value").alias("wire"))
+    return events(spark, sf_dir, F.col("props")).decode_value(s).map_value(s.encode).df.select("offset", F.col("value").alias("wire"))

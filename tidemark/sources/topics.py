@@ -6,7 +6,10 @@
 
 from __future__ import annotations
 
+import logging
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions import envelope
@@ -21,13 +24,19 @@ class TopicAlreadyRegistered(ValueError):
     pass
 
 
+#: What a reader sees of writes that are not committed.
+ISOLATION = ("read_committed", "read_uncommitted")
+
+
 class TopicStore:
     """Topics as Parquet folders ``{root}/{name}``; keys and values are in wire form."""
 
     WIRE = envelope.schema(T.StringType(), T.StringType())
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, isolation: str = "read_committed"):
+        if isolation not in ISOLATION:
+            raise ValueError(f"unknown isolation level {isolation!r}")
+        self.spark, self.root, self.isolation = spark, root.rstrip("/"), isolation
 
     def path(self, topic: str) -> str:
         return f"{self.root}/{topic}"
@@ -41,8 +50,13 @@ class TopicStore:
             raise TopicNotFound(topic)
 
     def read(self, topic: str) -> DataFrame:
+        """What is committed; with read_uncommitted, also the files of batches that are not yet."""
         self._require(topic)
-        return self.spark.read.schema(self.WIRE).parquet(self.path(topic))
+        reader = self.spark.read.schema(self.WIRE)
+        if self.isolation == "read_uncommitted":
+            # a pattern passes by the commit log of the folder
+            return reader.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(f"{self.path(topic)}/*")
+        return reader.parquet(self.path(topic)).select(*envelope.COLUMNS)
 
     def read_stream(self, topic: str, max_files: int | None = None) -> DataFrame:
         self._require(topic)
@@ -54,6 +68,10 @@ class TopicStore:
     def append(self, records: DataFrame, topic: str) -> None:
         records.select(*envelope.COLUMNS).write.mode("append").parquet(self.path(topic))
 
+    def replace_batch(self, records: DataFrame, topic: str, batch: int) -> None:
+        """Appends a micro-batch in a folder of its own; the same batch again replaces it."""
+        records.select(*envelope.COLUMNS).write.mode("overwrite").parquet(f"{self.path(topic)}/batch={batch}")
+
     def append_stream(self, records: DataFrame, topic: str, checkpoint: str):
         """A writer of exactly-once files; the caller sets the trigger and starts it."""
         return records.select(*envelope.COLUMNS).writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint).option("path", self.path(topic))
@@ -78,8 +96,25 @@ class Registry:
 
 
 def decoded(records: DataFrame, key: Serde, value: Serde) -> DataFrame:
-    """Wire records as typed records."""
-    return records.withColumns({"key": key.decode(records["key"]), "value": value.decode(records["value"])})
+    """Wire records as typed records.  A null key or value fails the query; parsing is done once a record."""
+    kept = envelope.require_keys(records)
+    parsed = kept.withColumns({"key": key.parse(F.col("key")), "value": value.parse(F.col("value"))})
+    return parsed.withColumns({"key": key.checked(F.col("key")), "value": value.checked(F.col("value"))})
+
+
+def lines(records: DataFrame, key: Serde, value: Serde) -> DataFrame:
+    """``line``: key and value in wire form, as text."""
+    return encoded(records, key, value).select(F.concat_ws(": ", F.col("key").cast("string"), F.col("value").cast("string")).alias("line"))
+
+
+def log_lines(rows) -> None:
+    """To the log of the executor that has the rows; a line each, none left out."""
+    log = logging.getLogger("tidemark.debug")
+    if not log.hasHandlers():
+        log.addHandler(logging.StreamHandler())
+    log.setLevel(logging.INFO)
+    for r in rows:
+        log.info(r.line)
 
 
 def encoded(records: DataFrame, key: Serde, value: Serde) -> DataFrame:
