@@ -218,7 +218,8 @@ class Network:
         rng = np.random.default_rng(seed)
         p = {k: (rng.normal(0, 0.1, s) if k not in ("out_bias", "word_bias") else np.zeros(s)).astype(np.float32) for k, s in cls.SHAPES.items()}
         p["out_bias"][:] = np.log(np.maximum(base.mass, 1e-3) / base.norm)
-        p["word_bias"][:] = np.log(np.maximum(base.word_mass, 1e-3)).reshape(CLASSES, CLASS_SIZE)
+        words = np.log(np.maximum(base.word_mass, 1e-3)).reshape(CLASSES, CLASS_SIZE)
+        p["word_bias"][:] = words - words.max(axis=1, keepdims=True)
         return cls(p)
 
     def flat(self) -> np.ndarray:
@@ -262,15 +263,22 @@ class Network:
             states[:, t] = h = new
         return states, h, saved
 
+    def _logits(self, name: str, columns: np.ndarray, k=...) -> np.ndarray:
+        """Shifted so that their exponentials are finite; states are within -1 and 1, which bounds them."""
+        w, b = self.p[name][k], self.p[name + "_bias"][k]
+        logit = w.T @ columns
+        logit += b[:, None]
+        if np.abs(w).sum(axis=0).max() + np.abs(b).max() > 60:
+            logit -= logit.max(axis=0)
+        return logit
+
     def outputs(self, columns: np.ndarray, group: np.ndarray, word: np.ndarray, grads: dict | None = None):
         """Natural log probabilities of the class and of the word in it; word is -1 outside word classes.
 
         columns: [HIDDEN, n], a state each, so that sums over the outputs run
         along memory.  With ``grads``, adds to it and returns also the gradient of the states.
         """
-        logit = self.p["out"].T @ columns
-        logit += self.p["out_bias"][:, None]
-        logit -= logit.max(axis=0)
+        logit = self._logits("out", columns)
         line = np.arange(columns.shape[1])
         logp = logit[group, line]
         exp = np.exp(logit, out=logit)
@@ -291,9 +299,7 @@ class Network:
             if a == b:
                 continue
             i, own = order[a:b], columns[:, a:b]
-            logit = self.p["word"][k].T @ own
-            logit += self.p["word_bias"][k][:, None]
-            logit -= logit.max(axis=0)
+            logit = self._logits("word", own, k)
             at = word[i], np.arange(b - a)
             logp[i] += logit[at]
             exp = np.exp(logit, out=logit)
