@@ -1,15 +1,20 @@
 """Streams give what batches give, over several files and across a restart."""
 
 import datetime as dt
+import time
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.functions import envelope, serde
 from tidemark.operators.stream import Stream
 from tidemark.operators.table import Table
+from tidemark.plans import errors
 from tidemark.plans.app import App, Config
+from tidemark.sources import topics
+from tidemark.sources.imports import Channel, Import
 from tidemark.sources.topics import TopicAlreadyRegistered, TopicNotFound, TopicStore
-from tidemark.streaming import processors, sinks
+from tidemark.streaming import changelog, processors, sinks
 
 import pytest
 
@@ -118,3 +123,191 @@ def test_app_runs_queries(spark, store, tmp_path):
 def test_debug_sink(spark, store):
     lines = Stream(store.read("in")).filter(lambda k, v: v == "v3").into_debug(TEXT, TEXT, rows=5)
     assert lines == ["k0: v3"]
+
+
+def drain(df, mode, tmp_path, name):
+    """All rows that a stream puts out."""
+    out = []
+    finish(sinks.tee(df, [lambda batch, _: out.extend(map(tuple, batch.collect()))], f"file://{tmp_path}/{name}", once=True, mode=mode))
+    return out
+
+
+def test_streaming_table_join_view_changelog_and_restart(spark, store, tmp_path):
+    config = Config().set("application.id", "tables").set("state.dir", f"file://{tmp_path}/state")
+
+    def once():
+        app = App(spark, config, store)
+        handle = app.streaming_table("in", "last", TEXT, TEXT, once=True)
+        app.run(120)
+        return app, handle
+
+    app, handle = once()
+    want = {r.key: (r.offset, r.value) for r in Table(store.read("in")).df.collect()}
+    view = {r.key: (r.offset, r.value) for r in handle.view.all().collect()}
+    assert view == want and [r.value for r in handle.view.get("k1").collect()] == [want["k1"][1]]
+    assert sum(handle.view.partition(p).count() for p in handle.view.partitions()) == 3
+    assert handle.view.table().df.count() == 3
+    # the changelog gives the table again; after a restart it has only what is new
+    log = handle.changelog()
+    first = changelog.rebuild(store, log)
+    assert {r.key: (r.offset, r.value) for r in first.df.collect()} == want
+    at = spark.createDataFrame([tuple(r) for r in first.checkpoint().collect()], "partition int, offset long")
+    assert changelog.rebuilt(store, log, at)
+    first = Table(store.read(log).where("offset < 12"))
+    base = Table(store.read(log).where("offset < 5"))
+    store.append(wire(spark, [("k1", "late", 12, 500), ("k9", "new", 13, 500)]), "in")
+    _, handle = once()
+    assert not changelog.rebuilt(store, log, at)
+    again = changelog.rebuild(store, log, base=first)
+    assert {r.key: r.value for r in again.df.collect()} == {k: v for k, (_, v) in want.items()} | {"k1": "late", "k9": "new"} == {r.key: r.value for r in handle.view.all().collect()}
+    assert {r.key: r.value for r in changelog.rebuild(store, log, base=base).df.collect()} == {r.key: r.value for r in again.df.collect()}
+    with pytest.raises(changelog.StateAhead):
+        changelog.rebuilt(store, log, again.checkpoint().withColumn("offset", F.col("offset") + 1))
+    # another stream joins the streaming table
+    left = wire(spark, [("k1", "l1", 1, 1), ("nobody", "l2", 2, 1)])
+    store.append(left, "left")
+    for how, rows in (("inner", {("k1", "l1", "late")}), ("left", {("k1", "l1", "late"), ("nobody", "l2", None)})):
+        got = drain(processors.latest_join_stream(store.read_stream("left"), store.read_stream("in"), how), "append", tmp_path, how)
+        assert {(k, l, r) for k, _, _, l, r in got} == rows
+
+
+def test_late_table_row_is_not_seen_by_earlier_left_rows(spark, store, tmp_path):
+    store.append(wire(spark, [("k", "l1", 1, 1)]), "l")
+    table = TopicStore(spark, f"file://{tmp_path}/other")
+    table.append(wire(spark, [("x", "X", 1, 1)]), "t")
+    join = lambda: processors.latest_join_stream(store.read_stream("l"), table.read_stream("t"))
+    assert drain(join(), "append", tmp_path, "late") == []
+    table.append(wire(spark, [("k", "K", 2, 1)]), "t")
+    assert drain(join(), "append", tmp_path, "late") == []
+    store.append(wire(spark, [("k", "l2", 2, 1)]), "l")
+    assert [(l, r) for _, _, _, l, r in drain(join(), "append", tmp_path, "late")] == [("l2", "K")]
+
+
+def test_streaming_count_reduce_and_fold(spark, store, tmp_path):
+    s = Stream(store.read_stream("in", 1))
+    last = lambda rows: {r[0]: r[1:] for r in rows}
+    assert last(drain(s.count(), "update", tmp_path, "c")) == {f"k{i}": (4,) for i in range(3)}
+    assert last(drain(s.reduce(top=F.max("offset"), least=F.min("value")), "update", tmp_path, "r")) == {f"k{i}": (9 + i, min(f"v{j}" for j in range(i, 12, 3))) for i in range(3)}
+    folded = processors.fold_stream(s.df, "", lambda a, x: a + x)
+    assert last(drain(folded, "update", tmp_path, "f")) == {f"k{i}": ("".join(f"v{j}" for j in range(i, 12, 3)),) for i in range(3)}
+
+
+def test_gated_join_drops_versions_of_keys_without_left_rows(spark, tmp_path):
+    path = f"file://{tmp_path}/gate"
+    t = TopicStore(spark, path)
+    for k in range(4):
+        t.append(wire(spark, [("only", f"v{k}", k, 100 * k)]), "t")
+        t.append(wire(spark, [("z", "end", k, 100 * k)]), "l")
+    joined = processors.gated_join(t.read_stream("l", 1), t.read_stream("t", 1))
+    finish(sinks.into_noop(joined, f"file://{tmp_path}/cg2", once=True))
+    rows = spark.read.format("statestore").option("stateVarName", "versions").load(f"file://{tmp_path}/cg2").where("key.key = 'only'")
+    assert rows.count() <= 2
+
+
+@pytest.mark.parametrize("guarantee", sinks.GUARANTEES)
+def test_guarantees(spark, store, tmp_path, guarantee):
+    stream, checkpoint = Stream(store.read_stream("in", 2)), f"file://{tmp_path}/cp"
+    for _ in range(2):
+        finish(sinks.into_topic(stream.df, store, "sure", TEXT, TEXT, checkpoint, once=True, guarantee=guarantee))
+    assert store.read("sure").count() == 12
+    # the newest batch is taken as not done: it comes again but for AtMostOnce
+    for p in (tmp_path / "cp" / "commits").glob("*1*"):
+        p.unlink()
+    finish(sinks.into_topic(stream.df, store, "sure", TEXT, TEXT, checkpoint, once=True, guarantee=guarantee))
+    again = store.read("sure").count()
+    assert again > 12 if guarantee == "AtLeastOnce" else again == 12
+
+
+def test_null_keys_and_values_of_a_topic_fail(spark, store):
+    for row in ((None, "v", 1, 1), ("k", None, 1, 1)):
+        name = "nulls" + str(row[0])
+        store.append(wire(spark, [row]), name)
+        app = App(spark, Config().set("application.id", "n").set("state.dir", "/tmp/none"), store)
+        with pytest.raises(Exception, match="record with a null"):
+            app.stream(name, TEXT, TEXT).df.collect()
+
+
+def test_debug_logs_every_record(spark, store, tmp_path):
+    path = tmp_path / "lines"
+    path.mkdir()
+
+    def kept(rows):
+        for r in rows:
+            (path / r.line.replace(": ", "_")).write_text("")
+
+    topics.lines(store.read("in"), TEXT, TEXT).foreachPartition(kept)
+    assert len(list(path.iterdir())) == 12
+    assert Stream(store.read("in")).into_debug(TEXT, TEXT) is None
+    finish(sinks.into_debug(store.read_stream("in"), TEXT, TEXT, f"file://{tmp_path}/cd", once=True))
+
+
+def test_bench_sink_reports_partitions(spark, store, tmp_path):
+    bench = sinks.Bench()
+    finish(sinks.into_bench(store.read_stream("in", 1), store, "timed", TEXT, TEXT, bench.progress, f"file://{tmp_path}/cb", once=True))
+    assert bench.at == {0: 11} and bench.rows == 12 and bench.rate() > 0 and store.read("timed").count() == 12
+    finish(sinks.into_topic_with(store.read_stream("in"), store, "chosen", lambda batch: (TEXT, serde.NativeBytes(T.StringType())), f"file://{tmp_path}/cs", once=True))
+    assert store.read("chosen").where("value like '{%'").count() == 12
+
+
+def test_imports_and_channels(spark, store, tmp_path):
+    rows = [("a", "1"), ("b", "2"), ("c", "3")]
+    stream = Import(spark, "outside", lambda at: rows[at:]).filter(lambda k, v: k != "b").map(lambda k, v: (F.upper(k), v)).integrate()
+    finish(sinks.into_topic(stream.df, store, "brought", TEXT, TEXT, f"file://{tmp_path}/ci", once=True))
+    assert sorted((r.topic, r.key, r.value, r.offset) for r in store.read("brought").collect()) == [("outside", "A", "1", 0), ("outside", "C", "3", 2)]
+    channel = Channel(store, "own")
+    channel.send([("x", "1")])
+    Channel(store, "own").send([("y", "2")])
+    finish(sinks.into_topic(channel.stream().df, store, "piped", TEXT, TEXT, f"file://{tmp_path}/cc", once=True))
+    assert sorted((r.key, r.offset) for r in store.read("piped").collect()) == [("x", 0), ("y", 1)]
+
+
+def test_app_settings_hooks_and_states(spark, store, tmp_path):
+    config = Config().set("application.id", "set").set("state.dir", f"file://{tmp_path}/s").set("delivery.guarantee", "AtMostOnce").set("commit.interval", "1 second")
+    app, seen = App(spark, config, store), []
+    assert app.state() == "Created" and app.instance_id == App(spark, config, store).instance_id
+    app.into_topic(app.stream("in", TEXT, TEXT, streaming=True), "out2", TEXT, TEXT, once=True).on_progress(seen.append)
+    app.run(120)
+    assert app.state() == "Stopped" and store.read("out2").count() == 12
+    assert (tmp_path / "s/set/to-out2/begun").exists() and app.interval == "1 second"
+    for _ in range(50):
+        if sum(p["numInputRows"] for p in seen) == 12:
+            break
+        time.sleep(0.1)
+    assert sum(p["numInputRows"] for p in seen) == 12 and app.stats()
+    with pytest.raises(ValueError, match="isolation"):
+        config.set("isolation.level", "none").build()
+    read = TopicStore(spark, store.root, "read_uncommitted").read("in")
+    assert read.count() == 12
+
+
+def test_passing_failures_start_again_and_others_do_not(spark, store, tmp_path):
+    for kind, ends in ((errors.Retryable, True), (errors.Fatal, False)):
+        left = [2]
+
+        def write(batch, _, kind=kind, left=left):
+            left[0] -= 1
+            if left[0] >= 0:
+                raise kind("not now")
+
+        app = App(spark, Config().set("application.id", kind.__name__).set("state.dir", f"file://{tmp_path}/r"), store)
+        stream = app.stream("in", TEXT, TEXT, streaming=True)
+        app.add(lambda a, write=write, stream=stream: sinks.tee(stream.df, [write], a.config.checkpoint("q"), once=True))
+        if ends:
+            app.run(120)
+            assert left[0] < 0
+        else:
+            with pytest.raises(Exception, match="not now"):
+                app.run(120)
+
+
+def test_circuit_breaker():
+    now = [0.0]
+    b = errors.CircuitBreaker(2, 10, 5, lambda: now[0])
+    b.failed()
+    now[0] = 20
+    b.failed()
+    assert b.closed()
+    b.failed()
+    assert not b.closed()
+    now[0] = 26
+    assert b.closed()
