@@ -9,6 +9,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
@@ -235,7 +236,10 @@ class App:
                         self._again(k, tries, failed)
                 for q in self.queries:
                     if q.isActive:
-                        q.awaitTermination(0.2)
+                        try:
+                            q.awaitTermination(0.2)
+                        except StreamingQueryException:
+                            pass  # the next turn sees that it failed, and why
                         break
         except Exception:
             self.stop()
