@@ -12,8 +12,8 @@ table's bucket is linked as a star: each member with the member of least id.
 Candidates are confirmed on the full shingle sets.  Where the members of a
 bucket are still in several components, each is tried with the bucket's most
 central member; then all pairs between components are looked at: signatures are
-compared in numpy, bucket by bucket (large buckets in blocks), and the pairs
-that may be links are confirmed too.  No bucket is capped.
+compared in numpy, bucket by bucket (large buckets in blocks, without those
+inside the largest component), and the pairs that may be links are confirmed too.  No bucket is capped.
 
 Defined results: words are lower-cased (A-Z); texts of fewer words than a
 shingle have one shingle, texts without words none, and those link with
@@ -36,7 +36,7 @@ PERCENT = 80
 GROUPS = 10
 HASHES = 4 * GROUPS
 FLUSH_KEYS = 2_000_000
-BLOCK, BLOCK_SHINGLES = 2048, 1 << 20
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
 #: Agreeing minhash values below which a pair of similarity 0.8 is (1 in 100,000) unlikely.
 LEAST_AGREED = 21
 
@@ -257,27 +257,55 @@ def _sketches(held, k: int, dtype, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for h in held for x in h.column(k)), dtype).reshape(-1, width)
 
 
+def _mixed(inside: DataFrame) -> DataFrame:
+    """The buckets whose members are in several components, with the largest of these as ``major``."""
+    parts = inside.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.sum("n").alias("load"))
+    most = F.max(F.struct("size", "component"))
+    found = parts.groupBy("bucket").agg(most["component"].alias("major"), F.count("*").alias("several"), F.sum("size").alias("size"), F.sum("load").alias("load"), most["size"].alias("major_size"), F.max_by("load", F.struct("size", "component")).alias("major_load"))
+    return found.where("several > 1").drop("several")
+
+
+def _chunks(size: str, load: str):
+    """How many chunks of about BLOCK members or BLOCK_SHINGLES shingles the members make."""
+    return F.ceil(F.greatest(F.expr(size) / BLOCK, F.expr(load) / BLOCK_SHINGLES)).cast("int")
+
+
+def _dealt(rows: DataFrame, extra: DataFrame) -> DataFrame:
+    rows = rows.select("bucket", "i", "j", "id", "component", "side", "n").join(extra, "id")
+    rows = rows.select("bucket", "i", "j", "id", "component", "side", "n", *extra.drop("id").columns)
+    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _chunked(inside: DataFrame, extra: DataFrame) -> DataFrame:
+    """Members of mixed buckets, each in one chunk of its bucket."""
+    rows = inside.join(_mixed(inside).select("bucket", _chunks("size", "load").alias("chunks")), "bucket")
+    own = F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int")
+    return _dealt(rows.withColumns({"i": own, "j": own, "side": F.lit(0)}), extra)
+
+
 def _blocks(inside: DataFrame, extra: DataFrame) -> DataFrame:
-    """Members of buckets whose members are in several components, dealt out in blocks.
+    """Members of mixed buckets, dealt out in blocks of two chunks.
 
-    A bucket is one block, or one for each two of its chunks of about BLOCK
-    members or BLOCK_SHINGLES shingles; ``side`` tells the chunk: 0 both, 1 the first, 2 the second.
+    The members of a bucket's largest component are in chunks of their own, which
+    meet no other such chunk, as they are linked already: a member of a hot group
+    moves once for each chunk of the others.  ``side`` tells the chunk: 0 both, 1
+    the first, 2 the second.
     """
-    mixed = inside.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"), F.sum("n").alias("load")).where("lo != hi")
-    rows = inside.join(mixed.drop("lo", "hi"), "bucket").join(extra, "id")
-    rows = rows.withColumn("chunks", F.ceil(F.greatest(F.col("size") / BLOCK, F.col("load") / BLOCK_SHINGLES)).cast("int")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("chunks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    mixed = _mixed(inside).select("bucket", "major", _chunks("size - major_size", "load - major_load").alias("few"), _chunks("major_size", "major_load").alias("rest"))
+    rows = inside.join(mixed, "bucket").withColumn("is_major", F.col("component") == F.col("major"))
+    hashed = F.xxhash64("id")
+    rows = rows.withColumn("own", F.when(F.col("is_major"), F.col("few") + F.pmod(hashed, F.col("rest"))).otherwise(F.pmod(hashed, F.col("few"))).cast("int"))
+    meets = F.when(F.col("is_major"), F.col("few")).otherwise(F.col("few") + F.col("rest"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), meets - 1)))
     side = F.when(F.col("own") == F.col("other"), 0).when(F.col("own") < F.col("other"), 1).otherwise(2)
-    rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": side})
-    rows = rows.select("bucket", "i", "j", "id", "component", "side", "n", *extra.drop("id").columns)
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return _dealt(rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other"), "side": side}), extra)
 
 
 def central(inside: DataFrame, classes: DataFrame) -> DataFrame:
-    """Candidates of a second star: each member apart from its bucket's most central member.
+    """Candidates of a second star: each member apart from its chunk's most central member.
 
     Central is the member whose signature agrees most with the commonest values
-    of the bucket; copies edited in many ways are all nearest to it.
+    of the chunk; copies edited in many ways are all nearest to it.
     """
 
     def run(batches):
@@ -292,7 +320,7 @@ def central(inside: DataFrame, classes: DataFrame) -> DataFrame:
             if pick.any():
                 yield _pairs([ids[pick]], [np.full(int(pick.sum()), ids[best])])
 
-    return _blocks(inside, classes.select(F.col("cid").alias("id"), "sketch")).mapInArrow(run, "a long, b long").distinct()
+    return _chunked(inside, classes.select(F.col("cid").alias("id"), "sketch")).mapInArrow(run, "a long, b long").distinct()
 
 
 def half_keys(members: DataFrame) -> DataFrame:
