@@ -233,7 +233,9 @@ def brute_components(sets, linked):
     return [find(i) for i in range(len(sets))]
 
 
-def test_minhash_components(spark, rows):
+@pytest.mark.parametrize("block", [512, 3])
+def test_minhash_components(spark, rows, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = np.random.default_rng(3)
     base = [f"b{i}" for i in range(120)]
     copies = []

@@ -258,11 +258,14 @@ def _sketches(held, k: int, dtype, width: int) -> np.ndarray:
 
 
 def _mixed(inside: DataFrame) -> DataFrame:
-    """The buckets whose members are in several components, with the largest of these as ``major``."""
+    """The buckets whose members are in several components, with the largest of these as ``major``.
+
+    A saved table, so that Spark may broadcast it, or split a hot bucket in the joins with it.
+    """
     parts = inside.groupBy("bucket", "component").agg(F.count("*").alias("size"), F.sum("n").alias("load"))
     most = F.max(F.struct("size", "component"))
     found = parts.groupBy("bucket").agg(most["component"].alias("major"), F.count("*").alias("several"), F.sum("size").alias("size"), F.sum("load").alias("load"), most["size"].alias("major_size"), F.max_by("load", F.struct("size", "component")).alias("major_load"))
-    return found.where("several > 1").drop("several")
+    return scratch.saved(found.where("several > 1").drop("several"))
 
 
 def _chunks(size: str, load: str):
@@ -273,7 +276,7 @@ def _chunks(size: str, load: str):
 def _dealt(rows: DataFrame, extra: DataFrame) -> DataFrame:
     rows = rows.select("bucket", "i", "j", "id", "component", "side", "n").join(extra, "id")
     rows = rows.select("bucket", "i", "j", "id", "component", "side", "n", *extra.drop("id").columns)
-    return rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return rows.repartition(routing.partitions(rows.sparkSession), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
 def _chunked(inside: DataFrame, extra: DataFrame) -> DataFrame:
@@ -387,18 +390,21 @@ def link_classes(texts: DataFrame, classes: DataFrame, size: int, percent: int)
     known = classes.select(F.col("cid").alias("id"), "n", "sketch")
 
     def placed(members):
-        return members.join(labels, "id", "left").join(known.select("id", "n"), "id").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+        return scratch.saved(members.join(labels, "id", "left").join(known.select("id", "n"), "id").select("bucket", "id", "n", F.coalesce("component", "id").alias("component")))
 
     many = found.where("many").select("bucket", "id")
-    more = scratch.saved(central(placed(many), classes).join(stars, ["a", "b"], "left_anti"))
+    inside = placed(many)
+    more = scratch.saved(central(inside, classes).join(stars, ["a", "b"], "left_anti"))
+    scratch.drop(inside)
     if more.limit(1).count():
         links = links.union(confirmed(more, sets, percent))
         labels = components.components(links)
     apart = scratch.saved(many.select("id").distinct().join(known, "id"))
-    rest = cross_links(placed(half_keys(apart)), apart.select("id", "sketch"), sets, percent)
+    inside = placed(half_keys(apart))
+    rest = cross_links(inside, apart.select("id", "sketch"), sets, percent)
     if rest.limit(1).count():
         labels = components.components(links.union(rest))
-    for table in (found, stars, sets, more, apart):
+    for table in (found, stars, sets, more, apart, inside):
         scratch.drop(table)
     return labels
 
