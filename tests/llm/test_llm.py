@@ -545,6 +545,27 @@ def test_gradient_of_the_network():
         assert np.isclose((up - down) / 2e-2, seen[name][at], rtol=0.05, atol=1e-3), name
 
 
+def test_windows_side_by_side_add_up():
+    rng = np.random.default_rng(8)
+    lanes, windows = 3, 4
+    steps = windows * lm.WINDOW
+    x = rng.integers(0, 60, (steps, lanes))
+    group, word = lm._targets(rng.integers(0, 60, (steps, lanes)))
+    reset, real = rng.random((steps, lanes)) < 0.1, np.ones((steps, lanes), bool)
+    real[-5:, 1] = False
+    h = rng.normal(0, 0.3, (lm.HIDDEN, lanes)).astype(np.float32)
+    net, seen = lm.Network.start(_small_base()), []
+    net._adam = lambda grads, n, rate: seen.append((grads, n))
+    last = net.learn(x, reset, h, group, word, 0.1, real)
+    for t in range(0, steps, lm.WINDOW):
+        part = slice(t, t + lm.WINDOW)
+        h = net.learn(x[part], reset[part], h, group[part], word[part], 0.1, real[part])
+    (whole, n), *parts = seen
+    assert n == sum(k for _, k in parts) == real.sum() and np.allclose(last, h, atol=1e-5)
+    for name, g in whole.items():
+        assert np.allclose(g, sum(p[name] for p, _ in parts), atol=1e-3), name
+
+
 def test_training_reaches_every_token(spark, monkeypatch):
     networks, train = [], lm.train
 

@@ -203,6 +203,12 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def _side_by_side(a: np.ndarray) -> np.ndarray:
+    """[..., windows * WINDOW, lanes] as [..., WINDOW, windows * lanes]."""
+    a = a.reshape(*a.shape[:-2], -1, WINDOW, a.shape[-1])
+    return np.ascontiguousarray(a.swapaxes(-3, -2)).reshape(*a.shape[:-3], WINDOW, -1)
+
+
 class Network:
     """One gated recurrent layer; inputs are table rows, the output is class times word."""
 
@@ -318,10 +324,17 @@ class Network:
     def learn(self, x: np.ndarray, reset: np.ndarray, h: np.ndarray, group: np.ndarray, word: np.ndarray, rate: float, real: np.ndarray | None = None) -> np.ndarray:
         """One truncated window: forward, backward, an Adam step; returns the state to carry on.
 
-        Places that are not ``real`` pad the ends of lanes and have no loss.
+        More steps than WINDOW are several whole windows one after the other: the
+        state runs on through all, backpropagation stops at each window's start, so
+        that they go back side by side, with one Adam step.  Places that are not
+        ``real`` pad the ends of lanes and have no loss.
         """
-        steps, lanes = x.shape
         states, last, saved = self.run(x, reset, h, keep=True)
+        if len(x) > WINDOW:
+            x, reset, group, word, states = (_side_by_side(v) for v in (x, reset, group, word, states))
+            real = None if real is None else _side_by_side(real)
+            saved = [tuple(np.concatenate(v, axis=1) for v in zip(*saved[t::WINDOW])) for t in range(WINDOW)]
+        steps, lanes = x.shape
         grads = {k: np.zeros(s, np.float32) for k, s in self.SHAPES.items()}
         states = states.reshape(HIDDEN, -1)
         if real is None or real.all():
@@ -426,10 +439,15 @@ class Lanes:
         x, y, first = flat[:, 0], flat[:, 1], flat[:, 2].astype(bool)
         group, word = _targets(y)
         h = self.state[:, order]
-        for t in range(0, stop, WINDOW):
+        t = 0
+        while t < stop:
             live = int(np.searchsorted(-size, -t, "left"))
-            step = (t + np.arange(min(WINDOW, stop - t)))[:, None]
+            # the few lanes that long documents leave take several windows at once
+            windows = min(max(TRAIN_LANES // live, 1), -(-(stop - t) // WINDOW))
+            steps = windows * WINDOW if windows > 1 else min(WINDOW, stop - t)
+            step = (t + np.arange(steps))[:, None]
             real = step < size[:live]
+            t += steps
             place = np.where(real, offset[:live] + step, 0)
             n = int(real.sum())
             # few tokens give a noisy gradient and a smaller step
@@ -525,10 +543,11 @@ def gains(network: Network, base: Unigrams, symbols: np.ndarray, at: np.ndarray)
     offset = np.cumsum(size) - size
     out = np.zeros(len(lengths))
     h = np.zeros((HIDDEN, len(plan)), np.float32)
-    window = 32
-    for t in range(0, int(size.max()) if len(size) else 0, window):
+    t = 0
+    while t < (int(size[0]) if len(size) else 0):
         live = int(np.searchsorted(-size, -t, "left"))
-        steps = min(window, int(size[0]) - t)
+        # about as many tokens at once where few lanes are left
+        steps = min(32 * max(SCORE_LANES // live, 1), int(size[0]) - t)
         place = offset[:live] + t + np.arange(steps)[:, None]
         real = (t + np.arange(steps)[:, None]) < size[:live]
         place = np.where(real, place, 0)
@@ -538,6 +557,7 @@ def gains(network: Network, base: Unigrams, symbols: np.ndarray, at: np.ndarray)
         logp, _ = network.outputs(states.reshape(HIDDEN, -1)[:, flat], group[place], word[place])
         gain = np.logaddexp(np.log(MIX) + logp.astype(float) - log_base[place], np.log(1 - MIX)) / np.log(10)
         out += np.bincount(doc[place], gain, len(lengths))
+        t += steps
     return out
 
 
